@@ -45,9 +45,9 @@ class Settings:
     def __post_init__(self) -> None:
         check_fraction(self.fraction)
 
-    def is_large(self) -> str:
-        """Predicate on shared key counts: are the copies numbered in several parts?"""
-        expected = expected_pairs(self.fraction, "n_left", "n_right")
+    def is_large(self, one: str = "n_left", other: str = "n_right") -> str:
+        """Predicate on a key's two counts: are its copies numbered in several parts?"""
+        expected = expected_pairs(self.fraction, one, other)
         return f"({expected}) > {float(self.slot_rows)!r}D"
 
 
