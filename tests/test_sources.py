@@ -1,0 +1,135 @@
+from types import SimpleNamespace
+
+import pytest
+from pyspark.sql import functions as F
+
+from weftsample.sources import sites as files
+from weftsample.sources import synth
+
+COMMON = dict(overlap=0.5, sites=4, value_size=8)
+
+
+def test_site_paths(spark, tmp_path):
+    rows = spark.range(20).selectExpr("id", "cast(id as string) as text", "cast(id % 4 as int) as site")
+    prefix = files.write_sites(rows, str(tmp_path), "t", 0, 4)
+    other = files.write_sites(rows.limit(3), str(tmp_path), "t", 1, 4)
+    assert prefix == other
+    assert files.table_path(prefix, 0, 2, 4).endswith("t_t_0_p_2_of_4.csv")
+    schema = "id long, text string"
+    back = files.read_sites(spark, prefix, 0, 4, schema=schema)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+    one = files.read_sites(spark, prefix, 0, 4, schema=schema, only=2)
+    assert {r.id for r in one.collect()} == {2, 6, 10, 14, 18}
+    assert one.select("site").distinct().collect()[0].site == 2
+    with pytest.raises(ValueError, match="not one of"):
+        files.table_path(prefix, 0, 4, 4)
+
+
+def test_short_rows_and_empty_fields_read_as_null(spark, tmp_path):
+    path = tmp_path / "x_t_0_p_0_of_1.csv"
+    path.write_text('k,1,,"",5,6,too many\nshort\n')
+    rows = files.read_sites(spark, f"{tmp_path}/x", 0, 1).orderBy("key").collect()
+    assert tuple(rows[0]) == ("k", "1", None, None, "5", "6", 0)
+    assert tuple(rows[1]) == ("short", None, None, None, None, None, 0)
+
+
+def test_scratch_folders_are_in_the_shared_folder(spark, shared_folder):
+    a, b = files.scratch_folder(spark, "x"), files.scratch_folder(spark, "x")
+    assert a != b and a.startswith(f"{shared_folder}/x-")
+
+
+def test_scratch_folder_on_a_cluster_needs_the_setting():
+    conf = SimpleNamespace(get=lambda name, default: default)
+    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        files.scratch_folder(cluster, "x")
+
+
+def test_keys_overlap(spark):
+    positions = synth.key_positions(spark, 101)
+    a, b = (
+        {r.key_idx: r.key for r in synth.synth_keys(positions, 101, 0.3, table=t).collect()}
+        for t in (0, 1)
+    )
+    assert all(len(k) == 16 and k.isalpha() for k in a.values())
+    assert [i for i in range(101) if a[i] == b[i]] == list(range(30))
+
+
+def test_letters_are_even(spark):
+    positions = synth.key_positions(spark, 4000)
+    keys = synth.synth_keys(positions, 4000, 1.0, table=0, key_size=13)
+    letters = keys.select(F.explode(F.split("key", "")).alias("c")).filter("c != ''")
+    counts = [r["count"] for r in letters.groupBy("c").count().collect()]
+    assert len(counts) == 52
+    each = 4000 * 13 / 52
+    assert sum((c - each) ** 2 / each for c in counts) < 51 + 5 * 10.1
+
+
+def test_uniform_records(spark):
+    positions = synth.key_positions(spark, 50)
+    rows = synth.synth_uniform(positions, 50, min_rpk=8, max_rpk=40, table=0, **COMMON)
+    counts = [r["count"] for r in rows.groupBy("site", "key").count().collect()]
+    assert len(counts) == 200  # every key at every site
+    assert min(counts) >= 2 and max(counts) < 10  # 8/4 ... 40/4, rounded down
+    assert rows.columns == ["table", "site", "key", *synth.VALUE_COLUMNS]
+    assert rows.select("value_one").distinct().count() == rows.count()
+
+
+def test_at_least_one_record(spark):
+    positions = synth.key_positions(spark, 10)
+    rows = synth.synth_uniform(positions, 10, min_rpk=1, max_rpk=2, table=0, **COMMON)
+    assert rows.count() == 40
+
+
+def test_sliced_keys_meet_at_one_site(spark):
+    positions = synth.key_positions(spark, 50)
+    a, b = (
+        {
+            r.key: r.site
+            for r in synth.synth_sliced(positions, 50, min_rpk=1, max_rpk=9, table=t, **COMMON)
+            .select("key", "site").distinct().collect()
+        }
+        for t in (0, 1)
+    )
+    assert len(a) == 50
+    assert sorted(list(a.values()).count(s) for s in range(4)) == [12, 12, 12, 14]
+    assert len(a.keys() & b.keys()) == 25
+    assert all(a[k] == b[k] for k in a.keys() & b.keys())
+
+
+def test_sliced_with_fewer_keys_than_sites(spark):
+    positions = synth.key_positions(spark, 3)
+    rows = synth.synth_sliced(positions, 3, min_rpk=1, max_rpk=1, table=0, **COMMON)
+    assert {r.site for r in rows.collect()} == {3}
+
+
+def test_zipf_counts_repeat_at_every_site_and_table(spark):
+    positions = synth.key_positions(spark, 300)
+    common = COMMON | dict(zipf_param=2.0, max_rpk=1000)
+    tables = [synth.synth_zipf(positions, 300, table=t, **common) for t in (0, 1)]
+    a, b = (t.groupBy("site", "key").count() for t in tables)
+    assert a.join(b, ["site", "key", "count"]).count() == 150 * 4
+    ones = a.filter("count = 1").count() / a.count()
+    assert ones == pytest.approx(6 / 3.14159**2, abs=0.09)  # 1 / zeta(2)
+    assert a.groupBy("key").agg(F.countDistinct("count").alias("d")).filter("d > 1").count() == 0
+
+
+def test_mixed_tables(spark):
+    positions = synth.key_positions(spark, 100)
+    zipf, uniform = synth.synth_mixed(
+        positions, 100, min_rpk=4, max_rpk=8, zipf_param=2.5, zipf_max_rpk=500, **COMMON
+    )
+    assert zipf.select("table").distinct().collect()[0].table == 0
+    most = uniform.groupBy("site", "key").count().agg(F.max("count")).collect()[0][0]
+    assert most == 1
+    assert zipf.select("key").join(uniform.select("key"), "key").distinct().count() == 50
+
+
+def test_bad_arguments(spark):
+    positions = synth.key_positions(spark, 3)
+    with pytest.raises(ValueError, match="overlap"):
+        synth.synth_keys(positions, 3, 1.5, table=0)
+    with pytest.raises(ValueError, match="zipf_param"):
+        synth.synth_zipf(positions, 3, zipf_param=1.0, table=0, **COMMON)
+    with pytest.raises(ValueError, match="min_rpk"):
+        synth.synth_uniform(positions, 3, min_rpk=3, max_rpk=2, table=0, **COMMON)
