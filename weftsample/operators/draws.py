@@ -15,6 +15,7 @@ from .keys import check_fraction
 
 # Fixed values.
 BOUND_SLACK = 1.0 - 1e-12  # exp() of a bound and of the weight may round apart
+CDF_BATCH = 100_000  # rows of distribution tables handed over at a time
 COPY_BLOCK = 65_536  # copies of one row that one task unrolls in one go
 
 
@@ -48,7 +49,8 @@ def poisson_draws(
         weighted = weighted.filter("false")
     drawing = weighted.filter(draws_some(fraction, "weight"))
     mean = F.expr(_mean(fraction, "weight"))
-    return drawing.withColumn("copies", poisson_number(F.col("_u"), mean))
+    drawn = drawing.withColumn("copies", poisson_number(F.col("_u"), mean))
+    return drawn.drop("_u", "_rows")
 
 
 def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None) -> DataFrame:
@@ -56,12 +58,15 @@ def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None)
 
     A row may stand for more copies than fit in memory, or than one task should
     write, so copies are unrolled in blocks.  ``spread_by`` shuffles the blocks
-    first, so that the copies of one row do not all come from one task.
+    first, so that the copies of one row do not all come from one task.  The
+    number of partitions is fixed for it: adaptive execution would merge them by
+    the size of the blocks, which says nothing about the copies in them.
     """
     block = F.expr(f"explode(sequence(0L, (copies - 1) div {COPY_BLOCK}))")
     blocks = sample.withColumn("_block", block)
     if spread_by is not None:
-        blocks = blocks.repartition(*spread_by, "_block")
+        partitions = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        blocks = blocks.repartition(partitions, *spread_by, "_block")
     copy = F.expr(
         f"explode(sequence(_block * {COPY_BLOCK} + 1,"
         f" least(copies, (_block + 1) * {COPY_BLOCK})))"
@@ -75,11 +80,18 @@ def poisson_cdf(weights: DataFrame, fraction: float) -> DataFrame:
 
     def tabulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            waiting, rows = [], 0
             for weight in batch["weight"]:
                 mean = fraction * float(weight)
                 first, cdf = poisson_block(mean) if mean > 0 else (0, np.ones(1))
                 n = np.arange(first, first + len(cdf), dtype=np.int64)
-                yield pd.DataFrame({"weight": weight, "n": n, "cdf": cdf})
+                waiting.append(pd.DataFrame({"weight": weight, "n": n, "cdf": cdf}))
+                rows += len(cdf)
+                if rows >= CDF_BATCH:
+                    yield pd.concat(waiting)
+                    waiting, rows = [], 0
+            if waiting:
+                yield pd.concat(waiting)
 
     distinct = weights.select(F.col("weight").cast("long").alias("weight")).distinct()
     return distinct.mapInPandas(tabulate, "weight long, n long, cdf double")

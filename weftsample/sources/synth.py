@@ -142,6 +142,11 @@ def synth_mixed(
     )
 
 
+def dataset_name(kind: str, **parameters: object) -> str:
+    """A file name that tells how a table was made, for ``write_sites``."""
+    return "_".join([kind, *(f"{name}_{value}" for name, value in parameters.items())])
+
+
 def _at_every_site(keys: DataFrame, sites: int) -> DataFrame:
     return keys.withColumn("site", F.expr(f"explode(sequence(0, {int(sites) - 1}))"))
 
