@@ -3,12 +3,17 @@
 The join is many-to-one, from a table of any size to the table of key counts.
 Two small broadcast tables keep it cheap and even:
 
-* a *guide* with the largest weight in each hash bucket of the key, at most
-  ``KEY_BUCKETS`` rows whatever the data.  A caller that can tell from an upper
-  bound of the weight that a row is not needed drops it before the shuffle;
-* the *heavy* keys, those with more than ``part_rows`` rows in this table, so at
-  most (rows / part_rows) of them.  Their rows are spread over several parts and
-  their counts are repeated once per part, so no key is one task.
+* the *guide* holds the largest count of each table in each hash bucket of the
+  key: at most ``KEY_BUCKETS`` rows whatever the data.  Rows of other buckets have
+  no partner, and a caller that can tell from an upper bound of the weight that
+  a row is not needed drops it, both before the shuffle;
+* the *large* keys, those with more than ``part_rows`` rows in a table or more
+  pairs in the sample than one task should number.  There are at most as many as
+  the tables' and the sample's rows divided by those limits.  Their rows are
+  spread over several parts and their counts are repeated once per part.
+
+Left and right rows use the same three tables (guide, large keys, counts by
+part), so Spark computes each of them once.
 """
 
 from __future__ import annotations
@@ -37,36 +42,36 @@ def attach_weights(
     keep: Callable[[str], str] | None = None,
     null_safe: bool = False,
     part_rows: int = PART_ROWS,
+    is_large: str | None = None,
 ) -> DataFrame:
     """Rows whose key occurs in both tables, with ``weight`` and ``own_count``.
 
     ``counts`` is the output of ``shared_key_counts``.  ``keep`` turns the name of
-    an upper bound of the weight into a predicate; rows that fail it are dropped early.
+    an upper bound of the weight into a predicate; rows that fail it are dropped
+    early.  ``is_large`` says which keys are large, by default those with more
+    than ``part_rows`` rows; it must hold for those at least.
     """
     own, other = SIDES[side]
+    guide = counts.groupBy(key_bucket(keys).alias("_bucket")).agg(
+        F.expr("array(max(n_left), max(n_right)) as _bounds")
+    )
+    large = _large_keys(counts, keys, is_large or exceeds(part_rows))
+    placed = rows.withColumn("_bucket", key_bucket(keys)).join(F.broadcast(guide), "_bucket")
+    placed = join_keys(placed, F.broadcast(large), keys, null_safe=null_safe, how="left")
     if keep is not None:
-        guide = counts.groupBy(key_bucket(keys).alias("_bucket")).agg(F.max(other).alias("_bound"))
-        rows = (
-            rows.withColumn("_bucket", key_bucket(keys))
-            .join(F.broadcast(guide), "_bucket")
-            .filter(keep("_bound"))
-            .drop("_bucket", "_bound")
-        )
-
+        bound = f"coalesce({other}, _bounds[{0 if other == 'n_left' else 1}])"
+        placed = placed.filter(keep(bound))
     names = ", ".join(map(quoted, ids))
-    parts = f"ceil({own} / {float(part_rows)!r}D)"
-    heavy = counts.filter(f"{own} > {part_rows}").select(*keys, F.expr(f"{parts} as _parts"))
-    placed = join_keys(rows, F.broadcast(heavy), keys, null_safe=null_safe, how="left").withColumn(
-        "_part", F.expr(f"coalesce(pmod(xxhash64({names}), coalesce(_parts, 1L)), 0L)")
-    )
-    weights = counts.select(
-        *keys,
-        F.col(other).alias("weight"),
-        F.col(own).alias("own_count"),
-        F.expr(f"explode(sequence(0L, {parts} - 1L)) as _part"),
+    part = f"coalesce(pmod(xxhash64({names}), {_parts(part_rows)}), 0L)"
+    placed = placed.withColumn("_part", F.expr(part)).drop("_bucket", "_bounds", "n_left", "n_right")
+
+    by_part = counts.withColumn(
+        "_part", F.expr(f"explode(sequence(0L, {_parts(part_rows)} - 1L))")
     )
-    return join_keys(placed, weights, [*keys, "_part"], null_safe=null_safe).drop(
-        "_part", "_parts"
+    return (
+        join_keys(placed, by_part, [*keys, "_part"], null_safe=null_safe)
+        .drop("_part")
+        .withColumnsRenamed({own: "own_count", other: "weight"})
     )
 
 
@@ -79,13 +84,22 @@ def attach_large_weights(
     is_large: str,
     null_safe: bool = False,
 ) -> DataFrame:
-    """``attach_weights`` for the few keys that are large, as one broadcast join.
-
-    The caller's ``is_large`` asks for so many rows per key that the number of
-    such keys is the size of a table, or of the sample, divided by millions.
-    """
+    """``attach_weights`` for the rows of large keys alone, as one broadcast join."""
     own, other = SIDES[side]
-    large = counts.filter(is_large).select(
-        *keys, F.col(other).alias("weight"), F.col(own).alias("own_count")
+    large = _large_keys(counts, keys, is_large)
+    return join_keys(rows, F.broadcast(large), keys, null_safe=null_safe).withColumnsRenamed(
+        {own: "own_count", other: "weight"}
     )
-    return join_keys(rows, F.broadcast(large), keys, null_safe=null_safe)
+
+
+def exceeds(rows: int) -> str:
+    """Predicate on shared key counts: more rows than this in one of the tables."""
+    return f"greatest(n_left, n_right) > {int(rows)}L"
+
+
+def _large_keys(counts: DataFrame, keys: Sequence[str], is_large: str) -> DataFrame:
+    return counts.filter(is_large).select(*keys, "n_left", "n_right")
+
+
+def _parts(part_rows: int) -> str:
+    return f"ceil(greatest(n_left, n_right) / {float(part_rows)!r}D)"

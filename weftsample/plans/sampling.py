@@ -20,7 +20,7 @@ from ..operators.keys import (
 )
 from ..operators.pairing import SLOT_ROWS, number_within_key, pair_on_slot
 from ..operators.unions import union_sites
-from ..operators.weights import PART_ROWS, attach_large_weights, attach_weights
+from ..operators.weights import PART_ROWS, attach_large_weights, attach_weights, exceeds
 
 METHODS = ("zip", "indexed")
 Ids = str | Sequence[str] | None
@@ -46,9 +46,10 @@ class Settings:
         check_fraction(self.fraction)
 
     def is_large(self, one: str = "n_left", other: str = "n_right") -> str:
-        """Predicate on a key's two counts: are its copies numbered in several parts?"""
+        """Predicate on a key's two counts: is its work cut into several parts?"""
         expected = expected_pairs(self.fraction, one, other)
-        return f"({expected}) > {float(self.slot_rows)!r}D"
+        many_copies = f"({expected}) > {float(self.slot_rows)!r}D"
+        return f"{many_copies} or greatest({one}, {other}) > {int(self.part_rows)}L"
 
 
 def join_sample(
@@ -171,6 +172,7 @@ def site_samples(
         keep=may_draw(how.fraction),
         null_safe=how.null_safe,
         part_rows=how.part_rows,
+        is_large=how.is_large(),
     )
     return poisson_draws(weighted, how.fraction, ids=ids, side=side, seed=how.seed)
 
@@ -199,7 +201,8 @@ def _zip_slots(
     rows: DataFrame, counts: DataFrame, how: Settings, side: str, ids: Sequence[str]
 ) -> DataFrame:
     # The draw for large keys is repeated rather than stored: it is the same
-    # function of the rows, and it reads no more than key and ids.
+    # function of the rows, and it reads no more than key and ids.  All keys that
+    # are numbered in several parts must be among them; more do no harm.
     sample = site_samples(rows, counts, how, side, ids)
     large = attach_large_weights(
         _narrow(rows, how.keys, ids),
@@ -228,6 +231,8 @@ def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str
     def single_rows(weighted: DataFrame) -> DataFrame:
         return expand_copies(weighted.withColumn("copies", F.col("_rows")), spread_by=spread)
 
+    # Numbered here are the rows of a key, not its copies.
+    is_large = exceeds(min(how.slot_rows, how.part_rows))
     rows = attach_weights(
         right,
         counts,
@@ -236,13 +241,14 @@ def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str
         ids=ids,
         null_safe=how.null_safe,
         part_rows=how.part_rows,
+        is_large=is_large,
     )
     large = attach_large_weights(
         _narrow(right, how.keys, ids),
         counts,
         how.keys,
         "right",
-        is_large=f"n_right > {how.slot_rows}",
+        is_large=is_large,
         null_safe=how.null_safe,
     )
     return number_within_key(
