@@ -7,6 +7,7 @@ mistake in the way the library splits the work cannot appear on both sides.
 
 from __future__ import annotations
 
+import hashlib
 import string
 
 SEED = 7
@@ -24,30 +25,58 @@ ORDERS = "SELECT o_orderkey AS id, o_custkey AS k FROM orders"
 EVENTS = "SELECT event_id AS id, user_id AS k FROM events"
 
 
-def bits(*parts: str) -> str:
-    text = ", ".join(f"cast({p} AS varchar)" for p in parts)
-    return f"cast('0x' || substr(md5(concat_ws('|', {text})), 1, 13) AS bigint)"
+def salts(purpose: str, seed: int) -> list[int]:
+    digest = hashlib.md5(f"{purpose}|{seed}".encode()).hexdigest()
+    return [int(digest[i : i + 8], 16) for i in (0, 8, 16)]
 
 
-def uniform(*parts: str) -> str:
-    return f"((cast({bits(*parts)} AS double) + 5e-1) * {1.0 / 16**13!r})"
+def mix(number: str, purpose: str, seed: int = SEED) -> str:
+    """52 bits of a BIGINT by multiplications and shifts of its two words."""
+    one, two, three = salts(purpose, seed)
+    word = 4294967295
+    low = f"(xor({number}, {number} >> 29) & {word})"
+    high = f"xor(({number} >> 31) & {word}, (({number} & {word}) * 1935289751) & {word})"
+
+    def times_factors(x: str) -> str:
+        x = f"(({x} * 569420461) & {word})"
+        return f"((xor({x}, {x} >> 15) * 1935289751) & {word})"
+
+    x = f"xor({times_factors(f'xor({low}, {one})')}, xor({high}, {two}))"
+    x = times_factors(f"xor({x}, {x} >> 16)")
+    rest = f"((xor({high}, {three}) * 569420461) & {word})"
+    return f"(({x} >> 6) * 67108864 + ({rest} >> 6))"
+
+
+def uniform(bits: str) -> str:
+    return f"((cast({bits} AS double) + 5e-1) * {2.0**-52!r})"
+
+
+def row_bits(id_: str, side: str, text_ids: bool) -> str:
+    """Bits of a row: of its whole number, or of 104 bits of its text's md5."""
+    if not text_ids:
+        return mix(id_, side)
+    first, second = (f"cast('0x' || substr(md5({id_}), {i}, 13) AS bigint)" for i in (1, 14))
+    return mix(f"xor({mix(first, side)}, {second})", side)
 
 
 def double(x: float) -> str:
     return f"cast('{x!r}' AS double)"
 
 
-def with_draws(left: str, right: str, fraction: float) -> str:
-    """CTEs l, r (id, k), wl, wr (with weight), cdf, dl, dr (with copies), cl, cr (per copy)."""
+def with_draws(left: str, right: str, fraction: float, text_ids: bool = False) -> str:
+    """CTEs l, r (id, k), wl, wr (with weight), cdf, dl, dr (with copies), cl, cr (per copy).
+
+    Column b holds the bits of a row and u the uniform number made of them.
+    """
     reach = "12e0 * sqrt(mean) + 20e0"
     return f"""
 WITH l AS ({left}), r AS ({right}),
 lc AS (SELECT k, count(*) AS n FROM l GROUP BY k),
 rc AS (SELECT k, count(*) AS n FROM r GROUP BY k),
-wl AS (SELECT l.id, l.k, rc.n AS weight, {uniform("l.id", "'left'", str(SEED))} AS u
-       FROM l JOIN rc ON l.k = rc.k),
-wr AS (SELECT r.id, r.k, lc.n AS weight, {uniform("r.id", "'right'", str(SEED))} AS u
-       FROM r JOIN lc ON r.k = lc.k),
+bl AS (SELECT id, k, {row_bits("id", "left", text_ids)} AS b FROM l),
+br AS (SELECT id, k, {row_bits("id", "right", text_ids)} AS b FROM r),
+wl AS (SELECT id, bl.k, b, {uniform("b")} AS u, rc.n AS weight FROM bl JOIN rc ON bl.k = rc.k),
+wr AS (SELECT id, br.k, b, {uniform("b")} AS u, lc.n AS weight FROM br JOIN lc ON br.k = lc.k),
 means AS (SELECT weight, {double(fraction)} * weight AS mean
           FROM (SELECT weight FROM wl UNION SELECT weight FROM wr)),
 grid AS (SELECT weight, mean, unnest(generate_series(
@@ -61,25 +90,25 @@ raised AS (SELECT weight, n,
 cdf AS (SELECT weight, n, CASE WHEN is_last THEN 1e0 ELSE hi / total END AS hi FROM raised),
 steps AS (SELECT weight, n, hi,
             coalesce(lag(hi) OVER (PARTITION BY weight ORDER BY n), 0e0) AS lo FROM cdf),
-dl AS (SELECT wl.id, wl.k, wl.weight, s.n AS copies FROM wl JOIN steps s
+dl AS (SELECT wl.id, wl.k, wl.b, wl.weight, s.n AS copies FROM wl JOIN steps s
        ON wl.weight = s.weight AND wl.u > s.lo AND wl.u <= s.hi WHERE s.n > 0),
-dr AS (SELECT wr.id, wr.k, wr.weight, s.n AS copies FROM wr JOIN steps s
+dr AS (SELECT wr.id, wr.k, wr.b, wr.weight, s.n AS copies FROM wr JOIN steps s
        ON wr.weight = s.weight AND wr.u > s.lo AND wr.u <= s.hi WHERE s.n > 0),
-cl AS (SELECT id, k, weight, unnest(generate_series(1, copies)) AS copy FROM dl),
-cr AS (SELECT id, k, weight, unnest(generate_series(1, copies)) AS copy FROM dr)"""
+cl AS (SELECT id, k, b, weight, unnest(generate_series(1, copies)) AS copy FROM dl),
+cr AS (SELECT id, k, b, weight, unnest(generate_series(1, copies)) AS copy FROM dr)"""
 
 
-def with_pairs(left: str, right: str, fraction: float) -> str:
+def with_pairs(left: str, right: str, fraction: float, text_ids: bool = False) -> str:
     """The same, and pairs (k, lid, rid) by zipping."""
 
     def slots(side: str, copies: str) -> str:
-        order = uniform("id", "copy", f"'{side}-slot'", str(SEED))
+        order = mix("xor(b, copy)", f"{side}-slot")
         return (
             f"SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY {order}, id, copy)"
             f" AS slot FROM {copies}"
         )
 
-    return f"""{with_draws(left, right, fraction)},
+    return f"""{with_draws(left, right, fraction, text_ids)},
 sl AS ({slots("left", "cl")}), sr AS ({slots("right", "cr")}),
 pairs AS (SELECT sl.k, sl.id AS lid, sr.id AS rid
           FROM sl JOIN sr ON sl.k = sr.k AND sl.slot = sr.slot)"""
@@ -99,50 +128,69 @@ def both_sides(ctes: str, left: str, right: str, columns: str) -> str:
     )
 
 
-def letters(length: int, *parts: str) -> str:
+def letters(length: int, words: list[str]) -> str:
     out = []
     for i in range(length):
-        word = bits(*parts, f"'{i // 6}'")
-        digit = f"(({word} // {52 ** (i % 6)}) % 52)"
+        digit = f"(({words[i // 6]} // {52 ** (i % 6)}) % 52)"
         out.append(f"substr('{string.ascii_letters}', cast({digit} AS int) + 1, 1)")
     return f"concat({', '.join(out)})"
 
 
+def with_keys(table: int) -> str:
+    """CTEs idx (key_idx, n) and keyed (with key): one key per customer."""
+    count = -(-KEY_SIZE // 6)
+    words = ", ".join(
+        f"CASE WHEN key_idx < floor(n * {double(OVERLAP)}) THEN {mix('key_idx', f'shared-key-{i}')}"
+        f" ELSE {mix('key_idx', f'table{table}-key-{i}')} END AS w{i}"
+        for i in range(count)
+    )
+    key = letters(KEY_SIZE, [f"w{i}" for i in range(count)])
+    return f"""WITH idx AS (SELECT c_custkey AS key_idx, count(*) OVER () AS n FROM customer),
+worded AS (SELECT key_idx, n, {words} FROM idx),
+keyed AS (SELECT key_idx, n, {key} AS key FROM worded)"""
+
+
 def synth(table: int, kind: str, sites: int = SITES) -> str:
     """A generated table: table, site, key, values; one key per customer."""
     low, high = max(RPK[0] // sites, 1), max(RPK[1] // sites, 1)
-    pool = f"CASE WHEN key_idx < floor(n * {double(OVERLAP)}) THEN 'shared' ELSE 'table{table}' END"
-    rpk = f"floor({low} + {uniform('key_idx', 'site', f"'rpk{table}'", str(SEED))} * {high - low})"
     if kind == "sliced":
-        placed = f"SELECT *, cast(least(key_idx // (n // {sites}), {sites - 1}) AS int) AS site FROM keyed"
+        site = f"cast(least(key_idx // (n // {sites}), {sites - 1}) AS int)"
     else:
-        placed = f"SELECT *, cast(unnest(range({sites})) AS int) AS site FROM keyed"
+        site = f"cast(unnest(range({sites})) AS int)"
     if kind == "zipf":
         counted = "SELECT p.*, z.x AS rpk FROM placed p JOIN zipf z USING (key_idx)"
     else:
-        counted = f"SELECT *, cast({rpk} AS bigint) AS rpk FROM placed"
-    values = ", ".join(
-        letters(VALUE_SIZE, "key_idx", "site", "copy", f"'table{table}'", f"'{c}'", str(SEED))
-        + f" AS {c}"
+        u = uniform(mix("place", f"rpk{table}"))
+        counted = f"SELECT *, cast(floor({low} + {u} * {high - low}) AS bigint) AS rpk FROM placed"
+    per_value = range(-(-VALUE_SIZE // 6))
+    words = ", ".join(
+        f"{mix('xor(place, copy)', f'table{table}-{c}-{i}')} AS {c}{i}"
         for c in VALUES
+        for i in per_value
+    )
+    values = ", ".join(
+        f"{letters(VALUE_SIZE, [f'{c}{i}' for i in per_value])} AS {c}" for c in VALUES
     )
     # Devroye's rejection with 64 tries; the chance that all fail is below 1e-20.
     rest = ZIPF - 1.0
-    u, v = (uniform("key_idx", "attempt", f"'{name}'", "12345") for name in "uv")
+    u, v = (uniform(mix("xor(b, attempt)", f"zipf-{name}", 12345)) for name in "uv")
     ratio = f"pow(1e0 + 1e0 / x, {double(rest)})"
     zipf = f"""
 tries AS (SELECT key_idx, attempt, {v} AS v, floor(pow({u}, {double(-1.0 / rest)})) AS x
-          FROM (SELECT key_idx, unnest(range(64)) AS attempt FROM idx)),
+          FROM (SELECT key_idx, {mix("key_idx", "zipf", 12345)} AS b,
+                       unnest(range(64)) AS attempt FROM idx)),
 zipf AS (SELECT key_idx, cast(arg_min(x, attempt) AS bigint) AS x FROM tries
          WHERE v * x * ({ratio} - 1e0) / {double(2.0**rest - 1.0)} <= {ratio} / {double(2.0**rest)}
          GROUP BY key_idx),"""
     return f"""
-SELECT * FROM (WITH idx AS (SELECT c_custkey AS key_idx, count(*) OVER () AS n FROM customer),
-keyed AS (SELECT *, {letters(KEY_SIZE, "key_idx", pool, "'key'", str(SEED))} AS key FROM idx),
-placed AS ({placed}),{zipf if kind == "zipf" else ""}
+SELECT * FROM ({with_keys(table)},
+sited AS (SELECT key_idx, key, {mix("key_idx", "position")} AS position, {site} AS site FROM keyed),
+placed AS (SELECT key_idx, key, site, {mix("xor(position, site)", "place")} AS place FROM sited),
+{zipf if kind == "zipf" else ""}
 counted AS ({counted}),
-records AS (SELECT *, unnest(generate_series(1, rpk)) AS copy FROM counted)
-SELECT cast({table} AS int) AS "table", site, key, {values} FROM records)"""
+records AS (SELECT key, site, place, unnest(generate_series(1, rpk)) AS copy FROM counted),
+filled AS (SELECT key, site, {words} FROM records)
+SELECT cast({table} AS int) AS "table", site, key, {values} FROM filled)"""
 
 
 def phases() -> str:
@@ -157,15 +205,15 @@ def phases() -> str:
         return f"json_extract_string({side}, '$.{name}') AS {name}{suffix}"
 
     columns = [value("lid", c, "_1") for c in VALUES] + [value("rid", c, "_2") for c in VALUES]
-    return f"{with_pairs(table(0), table(1), FRACTION)} SELECT k AS key, {', '.join(columns)} FROM pairs"
+    return f"{with_pairs(table(0), table(1), FRACTION, text_ids=True)} SELECT k AS key, {', '.join(columns)} FROM pairs"
 
 
 def index_pairs() -> str:
-    pick = f"cast(floor({uniform('id', 'copy', chr(39) + 'pick' + chr(39), str(SEED))} * weight) AS bigint) + 1"
-    order = uniform("id", "1", "'index'", str(SEED))
+    pick = f"cast(floor({uniform(mix('xor(b, copy)', 'pick'))} * weight) AS bigint) + 1"
+    order = mix("xor(b, 1)", "index")
     return f"""{with_draws(ORDERS, EVENTS, FRACTION)},
 picks AS (SELECT id, k, {pick} AS slot FROM cl),
-ranks AS (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY {order}, id) AS slot FROM r),
+ranks AS (SELECT id, k, row_number() OVER (PARTITION BY k ORDER BY {order}, id) AS slot FROM br),
 pairs AS (SELECT p.k, p.id AS lid, q.id AS rid FROM picks p JOIN ranks q
           ON p.k = q.k AND p.slot = q.slot)"""
 
@@ -236,15 +284,7 @@ def all_queries() -> dict[str, str]:
     )
     two = lambda kind: f"{synth(0, kind)} UNION ALL {synth(1, kind)}"
     keys = " UNION ALL ".join(
-        f"SELECT cast({t} AS int) AS \"table\", key_idx, "
-        + letters(
-            KEY_SIZE,
-            "key_idx",
-            f"CASE WHEN key_idx < floor(n * {double(OVERLAP)}) THEN 'shared' ELSE 'table{t}' END",
-            "'key'",
-            str(SEED),
-        )
-        + " AS key FROM (SELECT c_custkey AS key_idx, count(*) OVER () AS n FROM customer)"
+        f'SELECT * FROM ({with_keys(t)} SELECT cast({t} AS int) AS "table", key_idx, key FROM keyed)'
         for t in (0, 1)
     )
     sampled = orders_with_events(pairs)

@@ -2,60 +2,133 @@
 
 A draw that is a function of (row id, purpose, seed) comes out the same when a
 task is retried, when the data is laid out differently and when adaptive
-execution changes the plan.  Everything here is SQL text made of built-in
-functions, so it stays inside whole-stage code generation.
+execution changes the plan.
+
+Whole numbers are mixed by a few multiplications and shifts, which takes some
+tens of nanoseconds inside generated code; ids of other types go through an md5
+once per row.  All of it is SQL text made of built-in functions.
 """
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 # Fixed values.
+BITS = 52  # of a hash: as many as a double between 0 and 1 can hold
+HALF_BITS = 26
+WORD = 2**32 - 1
+FACTORS = (0x21F0AAAD, 0x735A2D97)  # of a public 32-bit mixer; below 2**31, so that
+#                                     the product with a word fits a BIGINT
+HASH_DIGITS = 13  # hex digits that make 52 bits
 LETTERS = string.ascii_letters  # alphabet of generated keys and values
-HASH_DIGITS = 13  # leading hex digits of an md5 that are used: 52 bits
-HASH_RANGE = 16**HASH_DIGITS
 LETTERS_PER_HASH = 6  # 52**6 << 2**52, so the letters are even to 5e-6
-KEY_BUCKETS = 65_536  # a power of two; most rows of the guide in operators.weights
+KEY_BUCKETS = 262_144  # a power of two; most rows of the guide in operators.weights
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def literal(text: object) -> str:
-    return "'" + str(text).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def hash52(*parts: str) -> str:
-    """First 52 bits of ``md5(part|part|...)`` as a BIGINT; parts are SQL texts."""
-    text = "concat_ws('|', " + ", ".join(f"cast({part} as string)" for part in parts) + ")"
-    digits = f"substring(md5({text}), 1, {HASH_DIGITS})"
-    # Never NULL; saying so spares the optimizer a second md5 as a null check.
+def salts(purpose: str, seed: int) -> tuple[int, int, int]:
+    """Three words that set one purpose and seed apart from all others."""
+    digest = hashlib.md5(f"{purpose}|{seed}".encode()).hexdigest()
+    return tuple(int(digest[i : i + 8], 16) for i in (0, 8, 16))
+
+
+def mix52(number: str, purpose: str, seed: int) -> str:
+    """52 well-mixed bits of a BIGINT; both are SQL texts.
+
+    Both words of the number enter both rounds of the upper half of the result;
+    its lower half only fills in the last places.
+    """
+    one, two, three = salts(purpose, seed)
+    low = f"(({number} ^ shiftright({number}, 29)) & {WORD}L)"
+    high = f"((shiftright({number}, 31) & {WORD}L) ^ ((({number} & {WORD}L) * {FACTORS[1]}L) & {WORD}L))"
+    x = _times_factors(f"({low} ^ {one}L)")
+    x = f"({x} ^ {high} ^ {two}L)"
+    x = _times_factors(f"({x} ^ shiftright({x}, 16))")
+    rest = f"((({high} ^ {three}L) * {FACTORS[0]}L) & {WORD}L)"
+    shift = 32 - HALF_BITS
+    return f"(shiftright({x}, {shift}) * {2**HALF_BITS}L + shiftright({rest}, {shift}))"
+
+
+def mix52_array(numbers: np.ndarray, purpose: str, seed: int) -> np.ndarray:
+    """``mix52`` of a numpy array of int64."""
+
+    def times_factors(x: np.ndarray) -> np.ndarray:
+        x = (x * FACTORS[0]) & WORD
+        return ((x ^ (x >> 15)) * FACTORS[1]) & WORD
+
+    one, two, three = salts(purpose, seed)
+    low = (numbers ^ (numbers >> 29)) & WORD
+    high = ((numbers >> 31) & WORD) ^ (((numbers & WORD) * FACTORS[1]) & WORD)
+    x = times_factors(low ^ one) ^ high ^ two
+    x = times_factors(x ^ (x >> 16))
+    rest = ((high ^ three) * FACTORS[0]) & WORD
+    shift = 32 - HALF_BITS
+    return (x >> shift) * 2**HALF_BITS + (rest >> shift)
+
+
+def uniform(bits: str) -> str:
+    """Number in (0, 1) from 52 bits."""
+    return f"(({bits} + 0.5D) * {2.0**-BITS!r}D)"
+
+
+def with_row_bits(rows: DataFrame, ids: Sequence[str], purpose: str, seed: int) -> DataFrame:
+    """Add ``_bits``, 52 bits that depend on the columns ``ids``."""
+    types = {field.name: field.dataType for field in rows.schema.fields}
+    whole = [c for c in ids if isinstance(types[c], IntegralType)]
+    other = [c for c in ids if c not in whole]
+    if other:
+        rows = rows.withColumn("_bits", text_bits(other))
+        rows = rows.withColumn("_bits", F.expr(mix52("_bits", purpose, seed)))
+    for i, name in enumerate(whole):
+        # Ids are not NULL; saying so spares the optimizer a null check by hash.
+        number = f"coalesce(cast({quoted(name)} as bigint), 0L)"
+        if other or i:
+            number = f"(_bits ^ {number})"
+        rows = rows.withColumn("_bits", F.expr(mix52(number, purpose, seed)))
+    return rows
+
+
+def text_bits(columns: Sequence[str]) -> Column:
+    texts = ", ".join(f"cast({quoted(c)} as string)" for c in columns)
+    return F.expr(digest_bits(f"md5(concat_ws('|', {texts}))", 0))
+
+
+def digest_bits(digest: str, part: int) -> str:
+    """52 bits from the hex digits of a digest: part 0 or part 1 of them."""
+    digits = f"substring({digest}, {1 + part * HASH_DIGITS}, {HASH_DIGITS})"
+    # Never NULL; saying so spares the optimizer a second digest as a null check.
     return f"coalesce(cast(conv({digits}, 16, 10) as bigint), 0L)"
 
 
-def row_uniform(ids: Sequence[str], purpose: str, seed: int) -> Column:
-    """Uniform number in (0, 1) for a row identified by the columns ``ids``."""
-    bits = hash52(*map(quoted, ids), literal(purpose), literal(seed))
-    return F.expr(f"({bits} + 0.5D) * {1.0 / HASH_RANGE!r}D")
-
-
-def random_letters(length: int, *parts: str) -> str:
-    """SQL text for ``length`` letters a-zA-Z picked by a hash of ``parts``."""
+def letters_from(words: Sequence[str], length: int) -> str:
+    """SQL text for ``length`` letters a-zA-Z, six from each of the 52-bit columns."""
     letters = []
-    for start in range(0, length, LETTERS_PER_HASH):
-        word = hash52(*parts, literal(start // LETTERS_PER_HASH))
-        for place in range(min(LETTERS_PER_HASH, length - start)):
-            digit = f"({word} div {len(LETTERS) ** place}L) % {len(LETTERS)}"
-            letters.append(f"substring('{LETTERS}', cast({digit} as int) + 1, 1)")
+    for i in range(length):
+        digit = f"({words[i // LETTERS_PER_HASH]} div {52 ** (i % LETTERS_PER_HASH)}L) % 52L"
+        letters.append(f"substring('{LETTERS}', cast({digit} as int) + 1, 1)")
     return f"concat({', '.join(letters)})" if letters else "''"
 
 
+def words_needed(length: int) -> int:
+    return -(-length // LETTERS_PER_HASH)
+
+
 def key_bucket(keys: Sequence[str]) -> Column:
     """One of ``KEY_BUCKETS`` buckets of the join key."""
     names = ", ".join(map(quoted, keys))
     return F.expr(f"cast(xxhash64({names}) & {KEY_BUCKETS - 1} as int)")
+
+
+def _times_factors(x: str) -> str:
+    x = f"(({x} * {FACTORS[0]}L) & {WORD}L)"
+    return f"((({x} ^ shiftright({x}, 15)) * {FACTORS[1]}L) & {WORD}L)"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import row_uniform
+from ..functions.hashing import uniform, with_row_bits
 from ..functions.poisson import poisson_block, poisson_number
 from .keys import check_fraction
 
@@ -20,8 +20,8 @@ COPY_BLOCK = 65_536  # copies of one row that one task unrolls in one go
 
 
 def draws_some(fraction: float, weight: str) -> str:
-    """Does ``_u`` draw a copy?  It draws none exactly if ``u <= exp(-mean)``."""
-    return f"_u > exp(-({_mean(fraction, weight)}))"
+    """Do ``_bits`` draw a copy?  They draw none exactly if ``u <= exp(-mean)``."""
+    return f"{uniform('_bits')} > exp(-({_mean(fraction, weight)}))"
 
 
 def may_draw(fraction: float) -> Callable[[str], str]:
@@ -29,10 +29,6 @@ def may_draw(fraction: float) -> Callable[[str], str]:
     return lambda bound: f"{draws_some(fraction, bound)} * {BOUND_SLACK!r}D"
 
 
-def with_uniform(rows: DataFrame, ids: Sequence[str], side: str, seed: int) -> DataFrame:
-    return rows.withColumn("_u", row_uniform(ids, side, seed))
-
-
 def poisson_draws(
     weighted: DataFrame, fraction: float, *, ids: Sequence[str], side: str, seed: int
 ) -> DataFrame:
@@ -41,16 +37,16 @@ def poisson_draws(
     Rows that draw nothing are dropped in the JVM; only the others go to Python.
     """
     fraction = check_fraction(fraction)
-    if "_u" not in weighted.columns:
-        weighted = with_uniform(weighted, ids, side, seed)
+    if "_bits" not in weighted.columns:
+        weighted = with_row_bits(weighted, ids, side, seed)
     if "_rows" not in weighted.columns:
         weighted = weighted.withColumn("_rows", F.lit(1).cast("long"))
     if fraction == 0.0:
         weighted = weighted.filter("false")
     drawing = weighted.filter(draws_some(fraction, "weight"))
     mean = F.expr(_mean(fraction, "weight"))
-    drawn = drawing.withColumn("copies", poisson_number(F.col("_u"), mean))
-    return drawn.drop("_u", "_rows")
+    drawn = drawing.withColumn("copies", poisson_number(F.expr(uniform("_bits")), mean))
+    return drawn.drop("_bits", "_rows")
 
 
 def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None) -> DataFrame:

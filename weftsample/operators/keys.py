@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import digest_bits
+
 JoinKeys = str | Sequence[str | tuple[str, str]]
 
 #: Columns the operators add; inputs must not use these names.
@@ -94,4 +96,11 @@ def identify_rows(
             raise ValueError(f"no such id columns: {missing}")
         return df.withColumn("_rows", F.lit(1).cast("long")), names
     folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_rows"))
-    return folded.withColumn("_id", F.to_json(F.struct(*df.columns))), ["_id"]
+    return digest_rows(folded, df.columns)
+
+
+def digest_rows(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Identify rows by 104 bits of a digest of ``columns``."""
+    digested = df.withColumn("_digest", F.md5(F.to_json(F.struct(*columns))))
+    parts = {"_id": F.expr(digest_bits("_digest", 0)), "_id2": F.expr(digest_bits("_digest", 1))}
+    return digested.withColumns(parts).drop("_digest"), list(parts)

@@ -19,11 +19,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ..operators.frequencies import merge_key_frequencies, shared_key_counts, site_key_frequencies
-from ..operators.keys import identify_rows
+from ..operators.keys import digest_rows, identify_rows
 from ..operators.pairing import pair_on_slot
 from ..sources.sites import TABLE_SCHEMA, read_sites, write_table
 from .report import observe_size
@@ -154,12 +153,11 @@ def run_join(
     for t in TABLES:
         sample = _read(spark, root, "samples", t, fmt, sample_schema, fraction=fraction, seed=seed)
         # As in phase 3, a row is known by its values and its site.
-        row = F.struct(*schema.names, "site")
-        sample = sample.withColumn("_id", F.to_json(row))
+        sample, ids = digest_rows(sample, [*schema.names, "site"])
         large = sample.filter(how.is_large("own_count", "weight")).select(
-            key, "_id", "weight", "own_count", "copies"
+            key, *ids, "weight", "own_count", "copies"
         )
-        slotted.append(zip_slots(sample, large, how, SIDE[t], ["_id"]))
+        slotted.append(zip_slots(sample, large, how, SIDE[t], ids))
     pairs = pair_on_slot(
         *slotted, [key], left_values=values, right_values=values, null_safe=null_safe
     )

@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import row_uniform
-from ..operators.draws import expand_copies, expected_pairs, may_draw, poisson_draws, with_uniform
+from ..functions.hashing import mix52, uniform, with_row_bits
+from ..operators.draws import expand_copies, expected_pairs, may_draw, poisson_draws
 from ..operators.frequencies import shared_key_counts, site_key_frequencies
 from ..operators.keys import (
     JoinKeys,
@@ -164,7 +164,7 @@ def site_samples(
     if "_rows" not in rows.columns:
         rows = rows.withColumn("_rows", F.lit(1).cast("long"))
     weighted = attach_weights(
-        with_uniform(rows, ids, side, how.seed),
+        with_row_bits(rows, ids, side, how.seed),
         counts,
         how.keys,
         side,
@@ -184,11 +184,14 @@ def zip_slots(
 
     ``large`` is the same sample for the large keys, with narrow rows.
     """
+    def copies(rows: DataFrame) -> DataFrame:
+        return expand_copies(with_row_bits(rows, ids, side, how.seed), spread_by=ids)
+
     return number_within_key(
-        expand_copies(sample, spread_by=ids),
-        expand_copies(large, spread_by=ids),
+        copies(sample),
+        copies(large),
         how.keys,
-        [*ids, "copy"],
+        ids,
         purpose=f"{side}-slot",
         seed=how.seed,
         expected=expected_pairs(how.fraction),
@@ -218,9 +221,14 @@ def _zip_slots(
 
 def _picks(left: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str]) -> DataFrame:
     """Left copies, each with the number of the right row it is paired with."""
-    copies = expand_copies(site_samples(left, counts, how, "left", ids), spread_by=ids)
-    picked = copies.withColumn("_pick", row_uniform([*ids, "copy"], "pick", how.seed))
-    return picked.withColumn("slot", F.expr("floor(_pick * weight) + 1L")).drop("_pick")
+    sample = with_row_bits(site_samples(left, counts, how, "left", ids), ids, "left", how.seed)
+    pick = mix52("(_bits ^ copy)", "pick", how.seed)
+    return (
+        expand_copies(sample, spread_by=ids)
+        .withColumn("_pick", F.expr(pick))
+        .withColumn("slot", F.expr(f"floor({uniform('_pick')} * weight) + 1L"))
+        .drop("_pick", "_bits")
+    )
 
 
 def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str]) -> DataFrame:
@@ -229,7 +237,8 @@ def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str
     spread = ids if "_id" in ids else None  # folded rows may stand for many
 
     def single_rows(weighted: DataFrame) -> DataFrame:
-        return expand_copies(weighted.withColumn("copies", F.col("_rows")), spread_by=spread)
+        rows = with_row_bits(weighted, ids, "right", how.seed)
+        return expand_copies(rows.withColumn("copies", F.col("_rows")), spread_by=spread)
 
     # Numbered here are the rows of a key, not its copies.
     is_large = exceeds(min(how.slot_rows, how.part_rows))
@@ -255,7 +264,7 @@ def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str
         single_rows(rows),
         single_rows(large),
         how.keys,
-        [*ids, "copy"],
+        ids,
         purpose="index",
         seed=how.seed,
         expected="own_count",

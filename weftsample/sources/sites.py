@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from ..functions.hashing import literal
+from ..functions.hashing import quoted
 
 # The schemas and the path template of the input tables.
 TABLE_SCHEMA = StructType(
@@ -107,7 +107,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def rendered_bytes(df: DataFrame, columns: Sequence[str] | None = None):
     """SQL expression: bytes of a row written as comma-separated text."""
     names = list(columns or df.columns)
-    text = [f"coalesce(octet_length(cast(`{c}` as string)), 0)" for c in names]
+    text = [f"coalesce(octet_length(cast({quoted(c)} as string)), 0)" for c in names]
     return F.expr(f"cast({' + '.join(text)} + {len(names)} as bigint)")
 
 
@@ -127,4 +127,4 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 def _check(fmt: str) -> None:
     if fmt not in FORMATS:
-        raise ValueError(f"format must be one of {FORMATS}, not {literal(fmt)}")
+        raise ValueError(f"format must be one of {FORMATS}, not {fmt!r}")

@@ -7,21 +7,19 @@ hash of (position, purpose, seed).  Keys, sites and records are unrolled with
 
 from __future__ import annotations
 
-import hashlib
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from ..functions.hashing import HASH_DIGITS, HASH_RANGE, hash52, literal, random_letters
+from ..functions.hashing import BITS, letters_from, mix52, mix52_array, uniform, words_needed
 from ..operators.draws import expand_copies
 
 # Fixed values.
 KEY_SIZE = 16  # letters of a key, where no size is given
 ZIPF_SEED = 12345  # the Zipf counts do not depend on table, site or run
-LOG_MOST_RECORDS = 62 * math.log(2.0)  # Zipf numbers are BIGINTs
+MOST_RECORDS = 2.0**62  # Zipf numbers are BIGINTs
 VALUE_COLUMNS = ("value_one", "value_two", "value_three", "value_four", "value_five")
 
 
@@ -43,9 +41,12 @@ def synth_keys(
     if not 0.0 <= overlap <= 1.0:
         raise ValueError(f"overlap must be between 0 and 1, not {overlap!r}")
     shared = int(num_keys * overlap)
-    pool = f"if(key_idx < {shared}, 'shared', 'table{int(table)}')"
-    letters = random_letters(key_size, "key_idx", pool, literal("key"), literal(seed))
-    return positions.select("key_idx", F.expr(f"{letters} as key"))
+    words = {}
+    for i in range(words_needed(key_size)):
+        both, mine = (mix52("key_idx", f"{pool}-key-{i}", seed) for pool in ("shared", f"table{table}"))
+        words[f"_word{i}"] = F.expr(f"if(key_idx < {shared}, {both}, {mine})")
+    keyed = positions.select("key_idx").withColumns(words)
+    return keyed.selectExpr("key_idx", f"{letters_from(list(words), key_size)} as key")
 
 
 def synth_uniform(
@@ -158,11 +159,16 @@ def _uniform_records(
     if min_rpk > max_rpk:
         raise ValueError(f"min_rpk {min_rpk} is above max_rpk {max_rpk}")
     low, high = max(int(min_rpk / sites), 1), max(int(max_rpk / sites), 1)
-    bits = hash52("key_idx", "site", literal(f"rpk{table}"), literal(seed))
-    u = f"({bits} + 0.5D) * {1.0 / HASH_RANGE!r}D"
-    return placed.withColumn(
-        "copies", F.expr(f"cast(floor({low} + {u} * {high - low}) as bigint)")
-    )
+    placed = _with_place(placed, seed)
+    bits = placed.withColumn("_rpk", F.expr(mix52("_place", f"rpk{table}", seed)))
+    records = f"cast(floor({low} + {uniform('_rpk')} * {high - low}) as bigint)"
+    return bits.withColumn("copies", F.expr(records)).drop("_rpk", "_place")
+
+
+def _with_place(placed: DataFrame, seed: int) -> DataFrame:
+    """Add ``_place``, bits of (key position, site)."""
+    position = placed.withColumn("_place", F.expr(mix52("key_idx", "position", seed)))
+    return position.withColumn("_place", F.expr(mix52("(_place ^ site)", "place", seed)))
 
 
 def _records(counted: DataFrame, table: int, value_size: int, seed: int) -> DataFrame:
@@ -170,16 +176,19 @@ def _records(counted: DataFrame, table: int, value_size: int, seed: int) -> Data
 
     Blocks of records are shuffled first: the largest key is not one task.
     """
-    records = expand_copies(counted, spread_by=["key_idx", "site"])
+    records = expand_copies(_with_place(counted, seed), spread_by=["key_idx", "site"])
+    words = {
+        f"_{c}{i}": F.expr(mix52("(_place ^ copy)", f"table{table}-{c}-{i}", seed))
+        for c in VALUE_COLUMNS
+        for i in range(words_needed(value_size))
+    }
     values = [
-        random_letters(
-            value_size, "key_idx", "site", "copy", literal(f"table{table}"), literal(c),
-            literal(seed),
-        )
-        + f" as {c}"
+        letters_from([f"_{c}{i}" for i in range(words_needed(value_size))], value_size) + f" as {c}"
         for c in VALUE_COLUMNS
     ]
-    return records.selectExpr(f"{int(table)} as table", "site", "key", *values)
+    return records.withColumns(words).selectExpr(
+        f"{int(table)} as table", "site", "key", *values
+    )
 
 
 def _zipf_counter(exponent: float):
@@ -190,25 +199,26 @@ def _zipf_counter(exponent: float):
     rest = exponent - 1.0
     scale = 2.0**rest
 
-    def uniform(position: int, attempt: int, name: str) -> float:
-        text = f"{position}|{attempt}|{name}|{ZIPF_SEED}"
-        bits = int(hashlib.md5(text.encode()).hexdigest()[:HASH_DIGITS], 16)
-        return (bits + 0.5) / HASH_RANGE
-
-    def draw(position: int) -> int:
-        attempt = 0
-        while True:
-            u = uniform(position, attempt, "u")
-            if -math.log(u) / rest < LOG_MOST_RECORDS:
-                x = math.floor(u ** (-1.0 / rest))
+    def draw(positions: np.ndarray) -> np.ndarray:
+        drawn = np.zeros(len(positions), dtype=np.int64)
+        bits = mix52_array(positions, "zipf", ZIPF_SEED)
+        waiting, attempt = np.arange(len(positions)), 0
+        while len(waiting):
+            u, v = (
+                (mix52_array(bits[waiting] ^ attempt, name, ZIPF_SEED) + 0.5) * 2.0**-BITS
+                for name in ("zipf-u", "zipf-v")
+            )
+            with np.errstate(over="ignore", invalid="ignore"):
+                x = np.floor(u ** (-1.0 / rest))
                 ratio = (1.0 + 1.0 / x) ** rest
-                v = uniform(position, attempt, "v")
-                if v * x * (ratio - 1.0) / (scale - 1.0) <= ratio / scale:
-                    return x
-            attempt += 1
+                fits = v * x * (ratio - 1.0) / (scale - 1.0) <= ratio / scale
+            fits &= x < MOST_RECORDS
+            drawn[waiting[fits]] = x[fits].astype(np.int64)
+            waiting, attempt = waiting[~fits], attempt + 1
+        return drawn
 
     @F.pandas_udf(LongType())
     def zipf(positions: pd.Series) -> pd.Series:
-        return positions.map(draw).astype("int64")
+        return pd.Series(draw(positions.to_numpy(dtype=np.int64)))
 
     return zipf
