@@ -82,7 +82,9 @@ def uniform(bits: str) -> str:
 
 
 def with_row_bits(rows: DataFrame, ids: Sequence[str], purpose: str, seed: int) -> DataFrame:
-    """Add ``_bits``, 52 bits that depend on the columns ``ids``."""
+    """Add ``_bits``, 52 bits that depend on the columns ``ids``, unless it is there."""
+    if "_bits" in rows.columns:
+        return rows
     types = {field.name: field.dataType for field in rows.schema.fields}
     whole = [c for c in ids if isinstance(types[c], IntegralType)]
     other = [c for c in ids if c not in whole]

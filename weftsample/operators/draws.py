@@ -34,6 +34,7 @@ def poisson_draws(
 ) -> DataFrame:
     """Rows that draw at least one copy, with ``copies ~ Poisson(fraction * weight)``.
 
+    ``_bits``, the hash of the row that the draw is made of, stays as a column.
     Rows that draw nothing are dropped in the JVM; only the others go to Python.
     """
     fraction = check_fraction(fraction)
@@ -46,7 +47,8 @@ def poisson_draws(
     drawing = weighted.filter(draws_some(fraction, "weight"))
     mean = F.expr(_mean(fraction, "weight"))
     drawn = drawing.withColumn("copies", poisson_number(F.expr(uniform("_bits")), mean))
-    return drawn.drop("_bits", "_rows")
+    values = [c for c in drawn.columns if c not in ("_rows", "_bits")]
+    return drawn.select(*values, "_bits")
 
 
 def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None) -> DataFrame:
