@@ -19,6 +19,14 @@ from weftsample.plans.report import Shipment, site_transfer_report  # noqa: E402
 from weftsample.sources import sites as files  # noqa: E402
 from weftsample.sources import synth  # noqa: E402
 
+try:
+    import corpus_pipeline  # noqa: E402
+    from weftsample.llm import queries as llm  # noqa: E402
+except ModuleNotFoundError as missing:
+    if not (missing.name or "").startswith(("corpus_pipeline", "weftsample.llm")):
+        raise
+    llm = None
+
 SEED, SITES, FRACTION = oracle.SEED, oracle.SITES, oracle.FRACTION
 ON = [("o_custkey", "user_id")]
 ORDER_COLUMNS = ("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
@@ -31,6 +39,19 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if llm is None:
+        return own_queries()
+    return own_queries() | llm.QUERIES | {"pipeline": corpus_pipeline.run}
+
+
+def oracle_sql() -> dict[str, str]:
+    if llm is None:
+        return oracle.all_queries()
+    sql = oracle.all_queries() | llm.ORACLE_SQL
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+
+
+def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "key_frequencies": _key_frequencies,
         "shared_key_counts": _shared_key_counts,
@@ -58,10 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
-def oracle_sql() -> dict[str, str]:
-    return oracle.all_queries()
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,10 +21,10 @@ def db():
 
 
 def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(entry.own_queries()) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.own_queries()))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, DATA)
     twin = db.sql(entry.oracle_sql()[name])
