@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
+from .html_text import op9_html_extraction
 from .packing import op2_best_fit_packing
 from .pii import op4_pii
 from .quality_model import op10_quality_classifier
+from .quality_rules import op7_quality_rules
 from .simhash import op3_simhash_near_dedup
+from .substring_dedup import op8_substring_dedup
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_pii": op4_pii,
+    "op5_toxicity": op5_toxicity,
+    "op6_bpe": op6_bpe,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
