@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, column, shared_folder, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE_CONF = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; a store is closed once its task has committed, so that open
+#: stores, and the space that each reserves, follow the cores and not the state.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 #: Hash buckets of digests seen twice; the size of the broadcast, whatever the data.
 HIT_BUCKETS = 1 << 17
@@ -55,8 +60,9 @@ def digest_state(
         .select(digest(folded(text_col)).alias("digest"), _row(id_col).alias("keep"))
     )
     state = rows.groupBy("digest").agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
-    before = spark.conf.get(STATE_CONF, None)
-    spark.conf.set(STATE_CONF, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         query = (
             state.writeStream.outputMode("update")
@@ -67,7 +73,8 @@ def digest_state(
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(STATE_CONF, before) if before else spark.conf.unset(STATE_CONF)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     return spark.read.format("statestore").load(checkpoint).selectExpr(
         "key.digest as digest", "value.max as keep", "value.count as n"
     )
