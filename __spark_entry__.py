@@ -277,10 +277,10 @@ def _federated_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     common = dict(fraction=FRACTION, seed=SEED)
     for p in range(sites):
         jobs.run_count(spark, prefix, root, site=p, sites=sites)
-    jobs.run_merge(spark, root)
+    jobs.run_merge(spark, root, sites=sites)
     for p in range(sites):
         jobs.run_sample(spark, prefix, root, site=p, sites=sites, **common)
-    jobs.run_join(spark, root, out, out_fmt="parquet", **common)
+    jobs.run_join(spark, root, out, sites=sites, out_fmt="parquet", **common)
     return spark.read.parquet(out)
 
 

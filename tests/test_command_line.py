@@ -22,12 +22,12 @@ def test_phases_equal_centralized(spark, tmp_path, capsys, kind):
     prefix, root = made["prefix"], tmp_path / "phases"
     for p in (0, 1):
         call(capsys, "count", "--prefix", prefix, "--root", root, "--site", p, "--sites", 2)
-    call(capsys, "merge", "--root", root)
+    call(capsys, "merge", "--root", root, "--sites", 2)
     draw = ("--fraction", 0.5, "--seed", 4)
     for p in (0, 1):
         call(capsys, "sample", "--prefix", prefix, "--root", root, "--site", p, "--sites", 2, *draw)
     out = ("--format", "parquet", *draw)
-    joined = call(capsys, "join", "--root", root, "--out", tmp_path / "a", *out)
+    joined = call(capsys, "join", "--root", root, "--sites", 2, "--out", tmp_path / "a", *out)
     whole = call(
         capsys, "centralized", "--prefix", prefix, "--sites", 2, "--out", tmp_path / "b", *out
     )

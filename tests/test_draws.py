@@ -2,6 +2,8 @@ from pyspark.sql import functions as F
 
 import weftsample as ws
 
+from .conftest import rows_of
+
 
 def test_copies_of_one_row_are_all_there(spark):
     """More copies than one block, and rows with a single copy beside it."""
@@ -61,3 +63,8 @@ def test_poisson_cdf_rows(spark):
     assert 480_000 < ends[10**6][0] < 500_000 < ends[10**6][1] < 520_000
     assert {top for *_, top in ends.values()} == {1.0}
     assert ws.poisson_cdf(weights, 0).filter("n = 0 and cdf = 1").count() == 3
+
+
+def test_rows_without_copies_give_none(spark):
+    rows = spark.createDataFrame([(1, 0), (2, 2)], "id long, copies long")
+    assert rows_of(ws.expand_copies(rows).select("id", "copy")) == [(2, 1), (2, 2)]

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 import weftsample as ws
@@ -72,10 +73,10 @@ def test_phases_over_files_equal_the_centralized_job(spark, site_files, tmp_path
     common = dict(fraction=0.1, seed=9, metrics=metrics)
     for p in range(3):
         jobs.run_count(spark, site_files, root, site=p, sites=3, fmt=fmt, metrics=metrics)
-    merged = jobs.run_merge(spark, root, fmt=fmt, metrics=metrics)
+    merged = jobs.run_merge(spark, root, sites=3, fmt=fmt, metrics=metrics)
     for p in range(3):
         jobs.run_sample(spark, site_files, root, site=p, sites=3, fmt=fmt, **common)
-    joined = jobs.run_join(spark, root, out, fmt=fmt, **common)
+    joined = jobs.run_join(spark, root, out, sites=3, fmt=fmt, **common)
     central = jobs.run_centralized(spark, site_files, whole, sites=3, **common)
 
     names = "key " + " ".join(f"value_{n}_{t}" for t in (1, 2) for n in "one two three four five".split())
@@ -94,3 +95,17 @@ def test_other_fractions_keep_their_own_files(spark, site_files, tmp_path):
     a = jobs._path("r", "samples", 0, fraction=0.1234561, seed=1, site=0)
     b = jobs._path("r", "samples", 0, fraction=0.1234562, seed=1, site=0)
     assert a != b
+
+
+def test_a_missing_site_is_an_error(spark, site_files, tmp_path):
+    root, draw = f"{tmp_path}/phases", dict(fraction=0.1, seed=9)
+    for p in (0, 2):
+        jobs.run_count(spark, site_files, root, site=p, sites=3)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        jobs.run_merge(spark, root, sites=3)
+    jobs.run_count(spark, site_files, root, site=1, sites=3)
+    jobs.run_merge(spark, root, sites=3)
+    for p in (0, 1):
+        jobs.run_sample(spark, site_files, root, site=p, sites=3, **draw)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        jobs.run_join(spark, root, f"{tmp_path}/out", sites=3, **draw)

@@ -161,3 +161,23 @@ def test_bad_arguments(hand):
     with pytest.raises(ValueError, match="not distinct"):
         ws.join_sample(left.withColumnRenamed("lid", "v"), right.withColumnRenamed("rid", "v"),
                        "key", 0.1, suffixes=("_1", "_1"))
+
+
+@pytest.mark.parametrize("method", ["zip", "indexed"])
+@pytest.mark.parametrize("types", ["int bigint", "float double", "decimal(9,2) bigint"])
+def test_keys_of_unequal_type_meet(spark, types, method):
+    """The pairs are those of a join, as often as a fraction above 1 draws them."""
+    one, other = types.split()
+    left = spark.range(60).selectExpr("id as lid", f"cast(id % 3 as {one}) as key")
+    right = spark.range(60).selectExpr("id as rid", f"cast(id % 3 as {other}) as key")
+    pairs = ws.join_sample(left, right, "key", 0.5, seed=3, left_id="lid", right_id="rid", method=method)
+    found = pairs.collect()
+    assert len(found) > 400
+    assert all(r.lid % 3 == r.rid % 3 for r in found)
+
+
+def test_collated_keys_meet(spark):
+    left = spark.range(60).selectExpr("id as lid", "if(id % 2 = 0, 'a', 'A') collate UTF8_LCASE as key")
+    right = spark.range(60).selectExpr("id as rid", "'A' collate UTF8_LCASE as key")
+    pairs = ws.join_sample(left, right, "key", 0.5, seed=3, left_id="lid", right_id="rid")
+    assert pairs.count() > 1500

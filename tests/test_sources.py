@@ -105,7 +105,7 @@ def test_sliced_with_fewer_keys_than_sites(spark):
 
 def test_zipf_counts_repeat_at_every_site_and_table(spark):
     positions = synth.key_positions(spark, 300)
-    common = COMMON | dict(zipf_param=2.0, max_rpk=1000)
+    common = COMMON | dict(zipf_param=2.0)
     tables = [synth.synth_zipf(positions, 300, table=t, **common) for t in (0, 1)]
     a, b = (t.groupBy("site", "key").count() for t in tables)
     assert a.join(b, ["site", "key", "count"]).count() == 150 * 4
@@ -117,7 +117,7 @@ def test_zipf_counts_repeat_at_every_site_and_table(spark):
 def test_mixed_tables(spark):
     positions = synth.key_positions(spark, 100)
     zipf, uniform = synth.synth_mixed(
-        positions, 100, min_rpk=4, max_rpk=8, zipf_param=2.5, zipf_max_rpk=500, **COMMON
+        positions, 100, min_rpk=4, max_rpk=8, zipf_param=2.5, **COMMON
     )
     assert zipf.select("table").distinct().collect()[0].table == 0
     most = uniform.groupBy("site", "key").count().agg(F.max("count")).collect()[0][0]

@@ -42,9 +42,9 @@ def parser() -> argparse.ArgumentParser:
     run = ("sites", "fraction", "seed", "null-safe", "metrics")
     command("centralized", "prefix", "out", "method", "format", *run)
     command("count", "prefix", "root", "site", "sites", "metrics")
-    command("merge", "root", "metrics")
+    command("merge", "root", "sites", "metrics")
     command("sample", "prefix", "root", "site", *run)
-    command("join", "root", "out", "format", *run[1:])
+    command("join", "root", "out", "format", *run)
     return top
 
 
@@ -74,6 +74,8 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> str:
         raise SystemExit(f"{a.kind} needs --zipf-param")
     if a.kind != "zipf" and a.max_rpk is None:
         raise SystemExit(f"{a.kind} needs --max-rpk")
+    if a.kind == "zipf" and a.max_rpk is not None:
+        raise SystemExit("zipf takes no --max-rpk: counts follow the law alone")
     if a.kind == "mixed":
         tables = synth.synth_mixed(
             positions, a.num_keys, zipf_param=a.zipf_param, **records, **common
@@ -82,9 +84,7 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> str:
     elif a.kind == "zipf":
         used = dict(zipf=a.zipf_param)
         tables = [
-            synth.synth_zipf(
-                positions, a.num_keys, zipf_param=a.zipf_param, max_rpk=a.max_rpk, table=t, **common
-            )
+            synth.synth_zipf(positions, a.num_keys, zipf_param=a.zipf_param, table=t, **common)
             for t in jobs.TABLES
         ]
     else:
@@ -92,8 +92,9 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> str:
         make = {"uniform": synth.synth_uniform, "sliced": synth.synth_sliced}[a.kind]
         tables = [make(positions, a.num_keys, table=t, **records, **common) for t in jobs.TABLES]
     name = synth.dataset_name(
-        a.kind, n=a.num_keys, **used, overlap=a.overlap, key=a.key_size, value=a.value_size
-    )
+        a.kind, n=a.num_keys, **used, overlap=a.overlap, key=a.key_size, value=a.value_size,
+        seed=a.seed,
+    )
     for t, table in zip(jobs.TABLES, tables):
         prefix = write_sites(table.drop("table"), a.out, name, t, a.sites)
     return prefix
@@ -107,7 +108,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
             spark, a.prefix, a.root, site=a.site, sites=a.sites, metrics=a.metrics
         )
     if a.command == "merge":
-        return jobs.run_merge(spark, a.root, metrics=a.metrics)
+        return jobs.run_merge(spark, a.root, sites=a.sites, metrics=a.metrics)
     common = dict(fraction=a.fraction, seed=a.seed, null_safe=a.null_safe, metrics=a.metrics)
     if a.command == "centralized":
         return jobs.run_centralized(
@@ -115,7 +116,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> object:
         )
     if a.command == "sample":
         return jobs.run_sample(spark, a.prefix, a.root, site=a.site, sites=a.sites, **common)
-    return jobs.run_join(spark, a.root, a.out, out_fmt=a.format, **common)
+    return jobs.run_join(spark, a.root, a.out, sites=a.sites, out_fmt=a.format, **common)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegralType
+from pyspark.sql.types import DataType, IntegralType, StringType
 
 # Fixed values.
 BITS = 52  # of a hash: as many as a double between 0 and 1 can hold
@@ -101,8 +101,24 @@ def with_row_bits(rows: DataFrame, ids: Sequence[str], purpose: str, seed: int)
 
 
 def text_bits(columns: Sequence[str]) -> Column:
-    texts = ", ".join(f"cast({quoted(c)} as string)" for c in columns)
-    return F.expr(digest_bits(f"md5(concat_ws('|', {texts}))", 0))
+    return F.expr(digest_bits(f"md5({row_text(columns)})", 0))
+
+
+def row_text(columns: Sequence[str]) -> str:
+    """SQL text: the values of a row as one text that tells any two rows apart.
+
+    JSON keeps fields apart and marks NULLs; times are written to the
+    microsecond and in UTC, so the session's time zone does not matter.
+    """
+    names = ", ".join(map(quoted, columns))
+    options = {
+        "ignoreNullFields": "false",
+        "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+        "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+        "timeZone": "UTC",
+    }
+    pairs = ", ".join(f"'{k}', '{v}'" for k, v in options.items())
+    return f"to_json(struct({names}), map({pairs}))"
 
 
 def digest_bits(digest: str, part: int) -> str:
@@ -125,12 +141,21 @@ def words_needed(length: int) -> int:
     return -(-length // LETTERS_PER_HASH)
 
 
-def key_bucket(keys: Sequence[str]) -> Column:
-    """One of ``KEY_BUCKETS`` buckets of the join key."""
-    names = ", ".join(map(quoted, keys))
+def key_bucket(rows: DataFrame, keys: Sequence[str]) -> Column:
+    """One of ``KEY_BUCKETS`` buckets of the join key; equal keys share one.
+
+    Texts under a collation are equal in more than one spelling, which no hash
+    function knows; they take no part in the bucket.
+    """
+    types = {field.name: field.dataType for field in rows.schema.fields}
+    names = ", ".join(quoted(k) for k in keys if not _collated(types[k])) or "0"
     return F.expr(f"cast(xxhash64({names}) & {KEY_BUCKETS - 1} as int)")
 
 
+def _collated(kind: DataType) -> bool:
+    return isinstance(kind, StringType) and kind.collation != "UTF8_BINARY"
+
+
 def _times_factors(x: str) -> str:
     x = f"(({x} * {FACTORS[0]}L) & {WORD}L)"
     return f"((({x} ^ shiftright({x}, 15)) * {FACTORS[1]}L) & {WORD}L)"

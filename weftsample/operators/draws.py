@@ -58,9 +58,12 @@ def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None)
     write, so copies are unrolled in blocks.  ``spread_by`` shuffles the blocks
     first, so that the copies of one row do not all come from one task.  The
     number of partitions is fixed for it: adaptive execution would merge them by
-    the size of the blocks, which says nothing about the copies in them.
+    the size of the blocks, which says nothing about the copies in them.  Rows
+    with no copies give none.
     """
-    block = F.expr(f"explode(sequence(0L, (copies - 1) div {COPY_BLOCK}))")
+    # Not a filter: that would be pushed below, and the expression of copies with it.
+    numbers = f"sequence(0L, (copies - 1) div {COPY_BLOCK})"
+    block = F.expr(f"explode(if(copies > 0, {numbers}, cast(array() as array<bigint>)))")
     blocks = sample.withColumn("_block", block)
     if spread_by is not None:
         partitions = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import digest_bits
+from ..functions.hashing import digest_bits, quoted, row_text
 
 JoinKeys = str | Sequence[str | tuple[str, str]]
 
@@ -22,11 +22,13 @@ def align_keys(
     right: DataFrame,
     on: JoinKeys,
     right_id: str | Sequence[str] | None = None,
-) -> tuple[DataFrame, list[str] | None, list[str]]:
-    """Rename the key columns of ``right`` to those of ``left``.
+) -> tuple[DataFrame, DataFrame, list[str] | None, list[str]]:
+    """Rename the key columns of ``right`` to those of ``left``; give both one type.
 
     ``on`` is a column name, or a list of names and ``(left, right)`` pairs.
-    Returns the renamed table, its id columns and the key columns.
+    Returns both tables, the id columns of the right one, and the key columns.
+    Keys of unequal type get their common type, the one that a union has: rows
+    are hashed by key, and an INT has not the hash of the same BIGINT.
     """
     entries = [on] if isinstance(on, str) else list(on)
     pairs = [(e, e) if isinstance(e, str) else tuple(e) for e in entries]
@@ -42,7 +44,16 @@ def align_keys(
     names = {other: name for name, other in pairs}
     ids = None if right_id is None else [names.get(c, c) for c in as_list(right_id)]
     renamed = right.withColumnsRenamed({o: n for o, n in names.items() if o != n})
-    return renamed, ids, [name for name, _ in pairs]
+    keys = [name for name, _ in pairs]
+    both = left.select(*map(quoted, keys)).unionAll(renamed.select(*map(quoted, keys)))
+    return cast_keys(left, both, keys), cast_keys(renamed, both, keys), ids, keys
+
+
+def cast_keys(rows: DataFrame, like: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with key columns of the types they have in ``like``."""
+    types = {k: like.schema[k].dataType for k in keys}
+    casts = {k: F.col(quoted(k)).cast(t) for k, t in types.items() if rows.schema[k].dataType != t}
+    return rows.withColumns(casts) if casts else rows
 
 
 def check_columns(df: DataFrame, label: str) -> None:
@@ -88,6 +99,10 @@ def identify_rows(
     of m Poisson numbers of mean x is a Poisson number of mean m*x, so one draw
     for the folded row has the law of m single draws.  The fold pre-aggregates
     before its shuffle, so a group of copies of any size costs little.
+
+    Ids must tell rows apart.  They are not counted, which would cost a shuffle:
+    rows with the same id draw alike, so a repeated id makes the sample lumpy.
+    ``repeated_ids`` lists those that occur twice or more.
     """
     if ids is not None:
         names = as_list(ids)
@@ -95,12 +110,17 @@ def identify_rows(
         if missing:
             raise ValueError(f"no such id columns: {missing}")
         return df.withColumn("_rows", F.lit(1).cast("long")), names
-    folded = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_rows"))
+    folded = df.groupBy(*map(quoted, df.columns)).agg(F.count(F.lit(1)).alias("_rows"))
     return digest_rows(folded, df.columns)
 
 
+def repeated_ids(df: DataFrame, ids: str | Sequence[str]) -> DataFrame:
+    """Ids that occur more than once, with their ``count``: no rows if ids are unique."""
+    return df.groupBy(*map(quoted, as_list(ids))).count().filter("`count` > 1")
+
+
 def digest_rows(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Identify rows by 104 bits of a digest of ``columns``."""
-    digested = df.withColumn("_digest", F.md5(F.to_json(F.struct(*columns))))
+    digested = df.withColumn("_digest", F.expr(f"md5({row_text(columns)})"))
     parts = {"_id": F.expr(digest_bits("_digest", 0)), "_id2": F.expr(digest_bits("_digest", 1))}
     return digested.withColumns(parts).drop("_digest"), list(parts)

@@ -1,19 +1,17 @@
 """Attach to every row how many rows of the other table share its key.
 
 The join is many-to-one, from a table of any size to the table of key counts.
-Two small broadcast tables keep it cheap and even:
-
-* the *guide* holds the largest count of each table in each hash bucket of the
-  key: at most ``KEY_BUCKETS`` rows whatever the data.  Rows of other buckets have
-  no partner, and a caller that can tell from an upper bound of the weight that
-  a row is not needed drops it, both before the shuffle;
-* the *large* keys, those with more than ``part_rows`` rows in a table or more
-  pairs in the sample than one task should number.  There are at most as many as
-  the tables' and the sample's rows divided by those limits.  Their rows are
-  spread over several parts and their counts are repeated once per part.
-
-Left and right rows use the same three tables (guide, large keys, counts by
-part), so Spark computes each of them once.
+One small broadcast table keeps it cheap and even: the *guide* holds the largest
+count of each table in each hash bucket of the key, at most ``KEY_BUCKETS`` rows
+whatever the data.
+
+* Rows of other buckets have no partner, and a caller that can tell from an upper
+  bound of the weight that a row is not needed drops it; both before the shuffle.
+* Keys of a bucket with more than ``part_rows`` rows of one key are spread over
+  several parts, and their counts are repeated once per part.
+
+Left and right rows use the same two tables (guide, counts by part), so Spark
+computes each of them once.
 """
 
 from __future__ import annotations
@@ -24,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import key_bucket, quoted
-from .keys import join_keys
+from .keys import cast_keys, join_keys
 
 # Fixed values.
 PART_ROWS = 4_000_000  # rows of one key that one task may get
@@ -42,34 +40,32 @@ def attach_weights(
     keep: Callable[[str], str] | None = None,
     null_safe: bool = False,
     part_rows: int = PART_ROWS,
-    is_large: str | None = None,
 ) -> DataFrame:
     """Rows whose key occurs in both tables, with ``weight`` and ``own_count``.
 
-    ``counts`` is the output of ``shared_key_counts``.  ``keep`` turns the name of
-    an upper bound of the weight into a predicate; rows that fail it are dropped
-    early.  ``is_large`` says which keys are large, by default those with more
-    than ``part_rows`` rows; it must hold for those at least.
+    ``counts`` is the output of ``shared_key_counts``; the keys take the types they
+    have there.  ``keep`` turns an upper bound of the weight into a predicate; rows
+    that fail it are dropped early.
     """
     own, other = SIDES[side]
-    guide = counts.groupBy(key_bucket(keys).alias("_bucket")).agg(
+    rows = cast_keys(rows, counts, keys)
+    bucketed = counts.withColumn("_bucket", key_bucket(counts, keys))
+    guide = bucketed.groupBy("_bucket").agg(
         F.expr("array(max(n_left), max(n_right)) as _bounds")
     )
-    large = _large_keys(counts, keys, is_large or exceeds(part_rows))
-    placed = rows.withColumn("_bucket", key_bucket(keys)).join(F.broadcast(guide), "_bucket")
-    placed = join_keys(placed, F.broadcast(large), keys, null_safe=null_safe, how="left")
+    placed = rows.withColumn("_bucket", key_bucket(rows, keys)).join(F.broadcast(guide), "_bucket")
     if keep is not None:
-        bound = f"coalesce({other}, _bounds[{0 if other == 'n_left' else 1}])"
-        placed = placed.filter(keep(bound))
+        placed = placed.filter(keep(f"_bounds[{0 if other == 'n_left' else 1}]"))
     names = ", ".join(map(quoted, ids))
-    part = f"coalesce(pmod(xxhash64({names}), {_parts(part_rows)}), 0L)"
-    placed = placed.withColumn("_part", F.expr(part)).drop("_bucket", "_bounds", "n_left", "n_right")
+    parts = f"cast(ceil(greatest(_bounds[0], _bounds[1]) / {float(part_rows)!r}D) as bigint)"
+    part = f"if({parts} > 1, pmod(xxhash64({names}), {parts}), 0L)"
+    placed = placed.withColumn("_part", F.expr(part)).drop("_bucket", "_bounds")
 
-    by_part = counts.withColumn(
-        "_part", F.expr(f"explode(sequence(0L, {_parts(part_rows)} - 1L))")
+    by_part = bucketed.join(F.broadcast(guide), "_bucket").withColumn(
+        "_part", F.expr(f"explode(sequence(0L, {parts} - 1L))")
     )
     return (
-        join_keys(placed, by_part, [*keys, "_part"], null_safe=null_safe)
+        join_keys(placed, by_part.drop("_bucket", "_bounds"), [*keys, "_part"], null_safe=null_safe)
         .drop("_part")
         .withColumnsRenamed({own: "own_count", other: "weight"})
     )
@@ -84,10 +80,19 @@ def attach_large_weights(
     is_large: str,
     null_safe: bool = False,
 ) -> DataFrame:
-    """``attach_weights`` for the rows of large keys alone, as one broadcast join."""
+    """``attach_weights`` for the rows of large keys alone.
+
+    Their buckets, at most ``KEY_BUCKETS`` numbers, are broadcast to drop all
+    other rows before the shuffle; the list of large keys itself grows with the
+    data and is not.
+    """
     own, other = SIDES[side]
-    large = _large_keys(counts, keys, is_large)
-    return join_keys(rows, F.broadcast(large), keys, null_safe=null_safe).withColumnsRenamed(
+    rows = cast_keys(rows, counts, keys)
+    large = counts.filter(is_large).select(*keys, "n_left", "n_right")
+    buckets = large.select(key_bucket(large, keys).alias("_bucket")).distinct()
+    near = rows.withColumn("_bucket", key_bucket(rows, keys))
+    near = near.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")
+    return join_keys(near, large, keys, null_safe=null_safe).withColumnsRenamed(
         {own: "own_count", other: "weight"}
     )
 
@@ -95,11 +100,3 @@ def attach_large_weights(
 def exceeds(rows: int) -> str:
     """Predicate on shared key counts: more rows than this in one of the tables."""
     return f"greatest(n_left, n_right) > {int(rows)}L"
-
-
-def _large_keys(counts: DataFrame, keys: Sequence[str], is_large: str) -> DataFrame:
-    return counts.filter(is_large).select(*keys, "n_left", "n_right")
-
-
-def _parts(part_rows: int) -> str:
-    return f"ceil(greatest(n_left, n_right) / {float(part_rows)!r}D)"

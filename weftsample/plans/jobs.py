@@ -9,8 +9,10 @@ sample    once per site      site tables, global counts -> sampled rows
 join      once               sampled rows of all sites -> sampled join
 ========  =================  ==============================================
 
-Phase results live under one root, told apart by ``table=``, ``site=`` and, where
-they depend on it, ``fraction=`` and ``seed=`` directories.  Every job returns the
+Phase results live under one root, told apart by ``table=``, ``sites=`` (how many
+there are), ``site=`` and, where they depend on it, ``fraction=``, ``seed=`` and
+``null_safe=`` directories.  The coordinator reads the results of exactly the
+sites 0 to ``sites`` - 1 and fails if one has not reported.  Every job returns the
 rows and bytes it wrote, and appends them to ``metrics`` if that path is given.
 """
 
@@ -73,7 +75,7 @@ def run_count(
     for t in TABLES:
         rows = read_sites(spark, prefix, t, sites, schema=schema, only=site)
         counts = site_key_frequencies(rows, key).drop("site")
-        outputs.append(("count", t, site, counts, _path(root, "site_counts", t, site=site)))
+        outputs.append(("count", t, site, counts, _path(root, "site_counts", t, sites=sites, site=site)))
     return _save(spark, outputs, fmt, metrics)
 
 
@@ -81,6 +83,7 @@ def run_merge(
     spark: SparkSession,
     root: str,
     *,
+    sites: int,
     schema: StructType = TABLE_SCHEMA,
     key: str = "key",
     fmt: str = "parquet",
@@ -89,9 +92,9 @@ def run_merge(
     """Phase 2, at the coordinator: add up the counts of all sites."""
     outputs = []
     for t in TABLES:
-        counts = _read(spark, root, "site_counts", t, fmt, _count_schema(schema, key))
+        counts = _read_sites(spark, root, "site_counts", t, fmt, _count_schema(schema, key), sites=sites)
         merged = merge_key_frequencies(counts, key)
-        outputs.append(("merge", t, None, merged, _path(root, "global_counts", t)))
+        outputs.append(("merge", t, None, merged, _path(root, "global_counts", t, sites=sites)))
     return _save(spark, outputs, fmt, metrics)
 
 
@@ -113,9 +116,13 @@ def run_sample(
     """Phase 3, at one site: draw copies of its rows, weighted by the global counts."""
     how = Settings([key], fraction, seed, null_safe)
     left, right = (
-        _read(spark, root, "global_counts", t, fmt, _count_schema(schema, key)) for t in TABLES
+        _read(
+            spark, [_path(root, "global_counts", t, sites=sites)], fmt, _count_schema(schema, key)
+        )
+        for t in TABLES
     )
     counts = shared_key_counts(left, right, key, name="count", null_safe=null_safe)
+    drawn = dict(fraction=fraction, seed=seed, null_safe=null_safe)
     outputs = []
     for t in TABLES:
         rows, ids = identify_rows(
@@ -124,7 +131,7 @@ def run_sample(
         sample = site_samples(rows, counts, how, SIDE[t], ids).select(
             *schema.names, "weight", "own_count", "copies"
         )
-        path = _path(root, "samples", t, fraction=fraction, seed=seed, site=site)
+        path = _path(root, "samples", t, sites=sites, **drawn, site=site)
         outputs.append(("sample", t, site, sample, path))
     return _save(spark, outputs, fmt, metrics)
 
@@ -134,6 +141,7 @@ def run_join(
     root: str,
     out: str,
     *,
+    sites: int,
     fraction: float,
     seed: int = 0,
     schema: StructType = TABLE_SCHEMA,
@@ -151,7 +159,10 @@ def run_join(
     values = [c for c in schema.names if c != key]
     slotted = []
     for t in TABLES:
-        sample = _read(spark, root, "samples", t, fmt, sample_schema, fraction=fraction, seed=seed)
+        sample = _read_sites(
+            spark, root, "samples", t, fmt, sample_schema,
+            sites=sites, fraction=fraction, seed=seed, null_safe=null_safe,
+        )
         # As in phase 3, a row is known by its values and its site.
         sample, ids = digest_rows(sample, [*schema.names, "site"])
         large = sample.filter(how.is_large("own_count", "weight")).select(
@@ -168,20 +179,31 @@ def _path(root: str, phase: str, table: int, **levels: object) -> str:
     return "/".join([root, phase, f"table={table}", *(f"{k}={v!r}" for k, v in levels.items())])
 
 
-def _read(
+def _read_sites(
     spark: SparkSession,
     root: str,
     phase: str,
     table: int,
     fmt: str,
     schema: StructType,
+    *,
+    sites: int,
     **levels: object,
 ) -> DataFrame:
-    """All sites of one phase result as one scan; sites come back as a column."""
-    path = _path(root, phase, table, **levels)
-    if phase != "global_counts":
-        schema = StructType(list(schema.fields)).add("site", IntegerType())
-    return spark.read.format(fmt).schema(schema).option("header", "false").load(path)
+    """One phase result of all sites as one scan; sites come back as a column.
+
+    A site without a result is an error, and results of other sites are not read.
+    """
+    base = _path(root, phase, table, sites=sites, **levels)
+    schema = StructType(list(schema.fields)).add("site", IntegerType())
+    return _read(spark, [f"{base}/site={p}" for p in range(sites)], fmt, schema, base)
+
+
+def _read(
+    spark: SparkSession, paths: list[str], fmt: str, schema: StructType, base: str | None = None
+) -> DataFrame:
+    reader = spark.read.format(fmt).schema(schema).option("header", "false")
+    return (reader.option("basePath", base) if base else reader).load(paths)
 
 
 def _count_schema(schema: StructType, key: str) -> StructType:

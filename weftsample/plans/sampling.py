@@ -82,7 +82,7 @@ def join_sample(
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
     check_columns(left, "left")
     check_columns(right, "right")
-    right, right_id, keys = align_keys(left, right, on, right_id)
+    left, right, right_id, keys = align_keys(left, right, on, right_id)
     how = Settings(keys, fraction, seed, null_safe, slot_rows, part_rows)
     counts = shared_key_counts(left, right, keys, null_safe=null_safe)
     left_rows, left_ids = identify_rows(left, left_id)
@@ -122,7 +122,9 @@ def federated_join_sample(
     """``join_sample`` for rows that live at several sites.
 
     Each input is one DataFrame with a ``site`` column, or one DataFrame per
-    site.  Only key counts and sampled rows pass between sites and coordinator.
+    site.  This is one Spark job over the rows of all sites: its weight join moves
+    each row that may draw a copy.  Where only key counts and sampled rows may
+    leave a site, use the four phases of ``plans.jobs``.
     With the same ids and seed the rows equal those of ``join_sample`` over all
     sites, however the rows are distributed.
     """
@@ -132,7 +134,7 @@ def federated_join_sample(
         right = union_sites(right, site=site)
     check_columns(left, "left")
     check_columns(right, "right")
-    right, right_id, keys = align_keys(left, right, on, right_id)
+    left, right, right_id, keys = align_keys(left, right, on, right_id)
     how = Settings(keys, fraction, seed, null_safe, slot_rows, part_rows)
     counts = shared_key_counts(
         site_key_frequencies(left, keys, site=site),
@@ -172,7 +174,6 @@ def site_samples(
         keep=may_draw(how.fraction),
         null_safe=how.null_safe,
         part_rows=how.part_rows,
-        is_large=how.is_large(),
     )
     return poisson_draws(weighted, how.fraction, ids=ids, side=side, seed=how.seed)
 
@@ -250,7 +251,6 @@ def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str
         ids=ids,
         null_safe=how.null_safe,
         part_rows=how.part_rows,
-        is_large=is_large,
     )
     large = attach_large_weights(
         _narrow(right, how.keys, ids),

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.hashing import quoted
 
@@ -29,7 +29,6 @@ TABLE_SCHEMA = StructType(
         StructField("value_five", StringType()),
     ]
 )
-COUNT_SCHEMA = StructType([StructField("key", StringType()), StructField("count", LongType())])
 TABLE_PATH = "{prefix}_t_{table}_p_{site}_of_{sites}.csv"
 SITE_PATTERN = r"_p_(\d+)_of_\d+\.csv"
 

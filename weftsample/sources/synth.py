@@ -102,18 +102,15 @@ def synth_zipf(
     table: int,
     key_size: int = KEY_SIZE,
     seed: int = 0,
-    max_rpk: int | None = None,
 ) -> DataFrame:
     """Every key at every site; its Zipf count is the same at all sites and in both tables.
 
-    An exponent near 1 gives a few keys enormous counts; ``max_rpk`` bounds them.
+    An exponent near 1 gives a few keys enormous counts; a larger one tames them.
     """
     if not zipf_param > 1.0:
         raise ValueError(f"zipf_param must be above 1, not {zipf_param!r}")
     keys = synth_keys(positions, num_keys, overlap, table=table, key_size=key_size, seed=seed)
     counted = keys.withColumn("copies", _zipf_counter(zipf_param)(F.col("key_idx")))
-    if max_rpk is not None:
-        counted = counted.withColumn("copies", F.least("copies", F.lit(max_rpk)))
     return _records(_at_every_site(counted, sites), table, value_size, seed)
 
 
@@ -129,16 +126,13 @@ def synth_mixed(
     value_size: int,
     key_size: int = KEY_SIZE,
     seed: int = 0,
-    zipf_max_rpk: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """A Zipf table 0 and a uniform table 1 over partly shared keys."""
     common = dict(
         overlap=overlap, sites=sites, value_size=value_size, key_size=key_size, seed=seed
     )
     return (
-        synth_zipf(
-            positions, num_keys, zipf_param=zipf_param, max_rpk=zipf_max_rpk, table=0, **common
-        ),
+        synth_zipf(positions, num_keys, zipf_param=zipf_param, table=0, **common),
         synth_uniform(positions, num_keys, min_rpk=min_rpk, max_rpk=max_rpk, table=1, **common),
     )
 
