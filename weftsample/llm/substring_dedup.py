@@ -67,14 +67,21 @@ def chosen_phrases(words: list[bytes], window: int = WINDOW, phrase: int = PHRAS
     return out
 
 
-def _phrases(texts: pd.Series) -> pd.Series:
-    """Chosen phrases of each text, each once."""
-    out = []
+def _phrases(texts: pd.Series) -> pd.DataFrame:
+    """Chosen phrases of each text, each once, and half of the key of its words."""
+    rows = []
     for text in texts:
         words = text.split()
         places = np.unique(chosen_phrases(words)).tolist()
-        out.append(list({b" ".join(words[p : p + PHRASE]) for p in places}))
-    return pd.Series(out, dtype=object)
+        chosen = list({b" ".join(words[p : p + PHRASE]) for p in places})
+        rows.append((_key(words)[0], chosen))
+    return pd.DataFrame(rows, columns=["high", "phrases"])
+
+
+def _key(words: list[bytes]) -> tuple[int, int]:
+    """128 bits that stand for the words of a text, as two signed numbers."""
+    key = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (key >> 64) - 2**63, (key & (1 << 64) - 1) - 2**63
 
 
 def _automaton(phrases: list[bytes]) -> ahocorasick.Automaton:
@@ -126,6 +133,7 @@ def _blocks_of(text: bytes, phrases: ahocorasick.Automaton) -> list[dict]:
         out.append(
             {
                 "start": start,
+                "n": stop - start,
                 "phrase": xxhash.xxh3_64_intdigest(phrase) - 2**63,
                 "block": xxhash.xxh3_128_digest(whole + b" %d" % (at - start)),
                 "windows": (np.array(windows, np.uint64)).view(np.int64),
@@ -135,10 +143,20 @@ def _blocks_of(text: bytes, phrases: ahocorasick.Automaton) -> list[dict]:
 
 
 BLOCK_FIELDS = (
-    "id bigint, text_hash bigint, start int, phrase bigint, block binary, windows array<bigint>"
+    "id bigint, text_hash bigint, start int, n int, phrase bigint, block binary, "
+    "windows array<bigint>"
 )
 
 
+def _content(texts: pd.Series) -> pd.DataFrame:
+    """The key of the words of a text, and how many they are."""
+    rows = []
+    for text in texts:
+        words = text.split()
+        rows.append((*_key(words), len(words)))
+    return pd.DataFrame(rows, columns=["high", "low", "n_words"])
+
+
 def repeated_ranges(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -148,13 +166,15 @@ def repeated_ranges(
     (array of ``first``, ``stop``; they may overlap), and the hash buckets of
     ids outside which no document has any.
 
-    1. Each document gives its chosen phrases; phrases of two documents or more
-       are confirmed by their full words.
-    2. Documents are dealt into shards by a hash of their id.  A shard compiles
+    1. Documents of the same words are one: the smallest id stands for them, and
+       the others lose all their words if they have a window.
+    2. Each document gives its chosen phrases; phrases of two documents of
+       different words are confirmed by their full words.
+    3. Documents are dealt into shards by a hash of their id.  A shard compiles
        an automaton of the confirmed phrases that its own documents chose, so
        the automata together grow with the corpus and each is bounded by its
        shard; the documents are streamed through it.
-    3. At each occurrence that is a window's choice, the run of windows with
+    4. At each occurrence that is a window's choice, the run of windows with
        this choice is a block.  Equal blocks need one row to tell the smallest
        id; the windows of different blocks of a phrase are compared one by one.
 
@@ -162,71 +182,96 @@ def repeated_ranges(
     before it is shuffled.  Rows without an id neither lose nor remove words.
     """
     id_ = column(id_col).cast("bigint")
-    texts = docs.select(id_.alias("id"), text_bytes(text_col).alias("text")).filter("id IS NOT NULL")
+    texts = docs.select(id_.alias("id"), text_bytes(text_col).alias("text"))
+    texts = texts.filter("id IS NOT NULL").withColumn("text_hash", F.xxhash64("text"))
+
+    content = F.pandas_udf(_content, "high bigint, low bigint, n_words bigint")
+    units = texts.select("id", "text_hash", content("text").alias("c")).select(
+        "id", "text_hash", "c.*"
+    )
+    units = stored(units.filter(F.col("n_words") >= WINDOW), "substring-units")
+    least = units.groupBy("high", "low").agg(F.min("id").alias("least"))
+    least = stored(least, "substring-first")
+    copies = units.join(least, ["high", "low"]).filter("least < id")
+    copies = copies.select(
+        "id", "text_hash", F.lit(0).alias("first"), F.col("n_words").cast("int").alias("stop")
+    )
 
-    phrases_of = F.pandas_udf(_phrases, "array<binary>")
-    phrases = texts.select("id", F.explode(phrases_of("text")).alias("phrase"))
+    phrases_of = F.pandas_udf(_phrases, "high bigint, phrases array<binary>")
+    phrases = texts.select("id", phrases_of("text").alias("p"))
+    phrases = phrases.select("id", "p.high", F.explode("p.phrases").alias("phrase"))
     phrases = stored(phrases, "substring-phrases")
-    confirmed = phrases.groupBy("phrase").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    confirmed = stored(confirmed.filter("least < most").select("phrase"), "substring-confirmed")
-    hits = stored(phrases.join(confirmed, "phrase"), "substring-hits")
+    confirmed = phrases.groupBy("phrase").agg(F.min("high").alias("a"), F.max("high").alias("b"))
+    confirmed = stored(confirmed.filter("a < b").select("phrase"), "substring-confirmed")
+    first = least.select("high", F.col("least").alias("id"))
+    hits = phrases.join(confirmed, "phrase").join(first, ["high", "id"], "left_semi")
+    hits = stored(hits.select("id", "phrase"), "substring-hits")
 
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     spark = docs.sparkSession
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES + 1)
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    of_shard = hits.select(shard.alias("shard"), "phrase").distinct()
-    # At most ID_BUCKETS rows.
-    buckets = stored(hits.select(id_bucket(F.col("id")).alias("bucket")).distinct(), "substring-ids")
     suspects = texts.join(
-        F.broadcast(buckets), id_bucket(F.col("id")) == F.col("bucket"), "left_semi"
-    ).select("id", F.xxhash64("text").alias("text_hash"), "text", shard.alias("shard"))
+        F.broadcast(_buckets(hits)), id_bucket(F.col("id")) == F.col("bucket"), "left_semi"
+    ).select("id", "text_hash", "text", shard.alias("shard"))
 
     def locate(own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        found, automaton = [], _automaton(own["phrase"].tolist())
-        if len(own):
-            for row in rows.itertuples(index=False):
+        found, wanted = [], set(own["id"])
+        automaton = _automaton(own["phrase"].unique().tolist()) if wanted else None
+        for row in rows.itertuples(index=False):
+            if row.id in wanted:
                 for block in _blocks_of(row.text, automaton):
                     found.append({"id": row.id, "text_hash": row.text_hash, **block})
-        names = ["id", "text_hash", "start", "phrase", "block", "windows"]
+        names = ["id", "text_hash", "start", "n", "phrase", "block", "windows"]
         return pd.DataFrame(found, columns=names)
 
     blocks = (
-        of_shard.groupBy("shard")
+        hits.withColumn("shard", shard)
+        .groupBy("shard")
         .cogroup(suspects.groupBy("shard"))
         .applyInPandas(locate, BLOCK_FIELDS)
     )
     blocks = stored(blocks, "substring-blocks")
-    least = blocks.groupBy("phrase", "block").agg(F.min("id").alias("least"))
-    least = stored(least, "substring-least")
-    several = least.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1").select("phrase")
-    several = stored(several, "substring-several")
-    known = blocks.join(least, ["phrase", "block"])
-    n = F.size("windows")
+    narrow = blocks.select("id", "text_hash", "start", "n", "phrase", "block")
+    smallest = narrow.groupBy("phrase", "block").agg(F.min("id").alias("least"))
+    smallest = stored(smallest, "substring-smallest")
+    known = narrow.join(smallest, ["phrase", "block"])
     whole = known.filter("least < id").select(
         "id", "text_hash", F.col("start").alias("first"),
-        (F.col("start") + n + (WINDOW - 1)).alias("stop"),
+        (F.col("start") + F.col("n") + (WINDOW - 1)).alias("stop"),
     )
 
     # The first document of a block stands for all that have it.
-    firsts = known.filter("least = id").join(several, "phrase", "left_semi")
-    windows = firsts.select(
+    several = smallest.groupBy("phrase").agg(F.count("*").alias("n")).filter("n > 1")
+    firsts = known.filter("least = id").join(several.select("phrase"), "phrase", "left_semi")
+    firsts = stored(firsts.select("id", "text_hash", "start"), "substring-firsts")
+    windows = blocks.join(firsts, ["id", "text_hash", "start"], "left_semi").select(
         "id", "text_hash", "phrase", "start", F.posexplode("windows").alias("at", "window")
     )
+    windows = windows.select(
+        # 128 bits: a window is equal if its phrase and its words are.
+        F.xxhash64("phrase", "window").alias("key"), "window", "id", "text_hash",
+        (F.col("start") + F.col("at")).alias("first"),
+    )
     windows = stored(windows, "substring-windows")
-    smallest = windows.groupBy("phrase", "window").agg(F.min("id").alias("least"))
-    smallest = stored(smallest, "substring-smallest")
+    shared = windows.groupBy("key", "window").agg(
+        F.min("id").alias("least"), F.max("id").alias("most")
+    )
+    shared = stored(shared.filter("least < most").select("key", "window", "least"), "substring-shared")
     single = (
-        windows.join(smallest, ["phrase", "window"])
+        windows.join(shared, ["key", "window"])
         .filter("least < id")
-        .select(
-            "id", "text_hash", (F.col("start") + F.col("at")).alias("first"),
-            (F.col("start") + F.col("at") + WINDOW).alias("stop"),
-        )
-    )
-    ranges = whole.unionByName(single).groupBy("id", "text_hash")
+        .select("id", "text_hash", "first", (F.col("first") + WINDOW).alias("stop"))
+    )
+    ranges = copies.unionByName(whole).unionByName(single).groupBy("id", "text_hash")
     ranges = ranges.agg(F.collect_set(F.struct("first", "stop")).alias("ranges"))
-    return stored(ranges, "substring-ranges"), buckets
+    ranges = stored(ranges, "substring-ranges")
+    return ranges, _buckets(ranges)
+
+
+def _buckets(rows: DataFrame) -> DataFrame:
+    """Hash buckets of the ids: at most ``ID_BUCKETS`` rows."""
+    return stored(rows.select(id_bucket(F.col("id")).alias("bucket")).distinct(), "substring-ids")
 
 
 def id_bucket(id_: Column) -> Column:
