@@ -30,6 +30,8 @@ except ModuleNotFoundError as missing:
 SEED, SITES, FRACTION = oracle.SEED, oracle.SITES, oracle.FRACTION
 ON = [("o_custkey", "user_id")]
 ORDER_COLUMNS = ("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice")
+#: Sizes at which a key of the test tables is cut into parts, as at scale.
+SPLIT = dict(slot_rows=20, part_rows=15)
 EVENT_COLUMNS = ("user_id", "event_id", "event_type", "value")
 
 
@@ -60,9 +62,13 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "poisson_draws": _poisson_draws,
         "expand_copies": _expand_copies,
         "join_sample": _join_sample,
+        "join_sample_mixed_types": _join_sample_mixed_types,
         "join_sample_hot_key": _join_sample_hot_key,
+        "join_sample_hot_key_split": functools.partial(_join_sample_hot_key, **SPLIT),
         "join_sample_indexed": functools.partial(_join_sample, method="indexed"),
+        "join_sample_indexed_split": functools.partial(_join_sample, method="indexed", **SPLIT),
         "site_scan": _site_scan,
+        "site_scan_events": functools.partial(_site_scan, table="events", id_="event_id"),
         "site_key_frequencies": _site_key_frequencies,
         "merged_key_frequencies": _merged_key_frequencies,
         "site_samples": _site_samples,
@@ -175,20 +181,23 @@ def _expand_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _join_sample(spark: SparkSession, sf_dir: str, method: str = "zip") -> DataFrame:
-    return ws.join_sample(
-        _orders(spark, sf_dir),
-        _events(spark, sf_dir),
-        ON,
-        FRACTION,
-        seed=SEED,
-        left_id="o_orderkey",
-        right_id="event_id",
-        method=method,
-    )
+def _join_sample(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return _sampled(_orders(spark, sf_dir), _events(spark, sf_dir), **options)
+
+
+def _sampled(orders: DataFrame, events: DataFrame, **options) -> DataFrame:
+    ids = dict(left_id="o_orderkey", right_id="event_id")
+    return ws.join_sample(orders, events, ON, FRACTION, seed=SEED, **ids, **options)
 
 
-def _join_sample_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _join_sample_mixed_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An INT key meets a BIGINT key."""
+    orders = _orders(spark, sf_dir)
+    orders = orders.withColumn("o_custkey", orders.o_custkey.cast("int"))
+    return _sampled(orders, _events(spark, sf_dir))
+
+
+def _join_sample_hot_key(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """One key holds a third of the rows of both tables."""
     return ws.join_sample(
         _orders(spark, sf_dir).selectExpr(
@@ -200,28 +209,28 @@ def _join_sample_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         seed=SEED,
         left_id="o_orderkey",
         right_id="event_id",
+        **options,
     )
 
 
-def _order_files(spark: SparkSession, sf_dir: str):
-    """Orders, written as one CSV path per site; returns prefix and schema."""
-    rows = _table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"
-    )
+def _site_files(spark: SparkSession, sf_dir: str, table: str = "orders", id_: str = "o_orderkey"):
+    """A whole table, written as one CSV path per site; returns prefix and schema."""
+    rows = _table(spark, sf_dir, table)
     folder = files.scratch_folder(spark, "sites")
-    prefix = files.write_sites(_with_site(rows, "o_orderkey"), folder, "orders", 0, SITES)
+    prefix = files.write_sites(_with_site(rows, id_), folder, table, 0, SITES, escaped=True)
     return prefix, rows.schema
 
 
-def _site_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix, schema = _order_files(spark, sf_dir)
-    return files.read_sites(spark, prefix, 0, SITES, schema=schema)
+def _site_scan(spark: SparkSession, sf_dir: str, **which) -> DataFrame:
+    prefix, schema = _site_files(spark, sf_dir, **which)
+    return files.read_sites(spark, prefix, 0, SITES, schema=schema, escaped=True)
 
 
 def _union_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prefix, schema = _order_files(spark, sf_dir)
+    prefix, schema = _site_files(spark, sf_dir)
+    how = dict(schema=schema, escaped=True)
     return ws.union_sites(
-        [files.read_sites(spark, prefix, 0, SITES, schema=schema, only=p) for p in range(SITES)]
+        [files.read_sites(spark, prefix, 0, SITES, only=p, **how) for p in range(SITES)]
     )
 
 
@@ -398,5 +407,5 @@ def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sampled join, written as headerless CSV and read back."""
     pairs = _join_sample(spark, sf_dir)
     folder = files.scratch_folder(spark, "csv")
-    files.write_table(pairs, folder, "csv")
-    return files.read_table(spark, folder, "csv", pairs.schema)
+    files.write_table(pairs, folder, "csv", escaped=True)
+    return files.read_table(spark, folder, "csv", pairs.schema, escaped=True)

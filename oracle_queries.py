@@ -278,10 +278,8 @@ def all_queries() -> dict[str, str]:
         f"SELECT '{table}' AS source, {column} AS key, count(*) AS n FROM {table} GROUP BY ALL"
         for table, column in (("orders", "o_custkey"), ("events", "user_id"))
     )
-    order_sites = (
-        f"SELECT cast(o_orderkey % {SITES} AS int) AS site, o_orderkey, o_custkey,"
-        " o_orderstatus, o_orderpriority FROM orders"
-    )
+    order_sites = f"SELECT cast(o_orderkey % {SITES} AS int) AS site, * FROM orders"
+    event_sites = f"SELECT cast(event_id % {SITES} AS int) AS site, * FROM events"
     two = lambda kind: f"{synth(0, kind)} UNION ALL {synth(1, kind)}"
     keys = " UNION ALL ".join(
         f'SELECT * FROM ({with_keys(t)} SELECT cast({t} AS int) AS "table", key_idx, key FROM keyed)'
@@ -291,6 +289,7 @@ def all_queries() -> dict[str, str]:
     hot_key = with_pairs(
         hot("orders", "o_orderkey", "o_custkey"), hot("events", "event_id", "user_id"), HOT_FRACTION
     )
+    of_hot_key = f"{hot_key} SELECT k AS key, lid AS o_orderkey, rid AS event_id FROM pairs"
     return {
         "key_frequencies": frequencies,
         "shared_key_counts": f"{draws} SELECT lc.k AS key, lc.n AS n_left, rc.n AS n_right"
@@ -301,10 +300,13 @@ def all_queries() -> dict[str, str]:
         "poisson_draws": both_sides(draws, "dl", "dr", "id, k AS key, weight, copies"),
         "expand_copies": both_sides(draws, "cl", "cr", "id, k AS key, copy"),
         "join_sample": sampled,
-        "join_sample_hot_key": f"{hot_key} SELECT k AS key, lid AS o_orderkey, rid AS event_id"
-        " FROM pairs",
+        "join_sample_mixed_types": sampled,
+        "join_sample_hot_key": of_hot_key,
+        "join_sample_hot_key_split": of_hot_key,
         "join_sample_indexed": orders_with_events(index_pairs()),
+        "join_sample_indexed_split": orders_with_events(index_pairs()),
         "site_scan": order_sites,
+        "site_scan_events": event_sites,
         "site_key_frequencies": per_site,
         "merged_key_frequencies": merged,
         "site_samples": both_sides(

@@ -133,3 +133,17 @@ def test_bad_arguments(spark):
         synth.synth_zipf(positions, 3, zipf_param=1.0, table=0, **COMMON)
     with pytest.raises(ValueError, match="min_rpk"):
         synth.synth_uniform(positions, 3, min_rpk=3, max_rpk=2, table=0, **COMMON)
+
+
+def test_escaped_files_keep_every_value(spark, tmp_path):
+    texts = [" a ", "", None, "a\nb", "c\r\nd", '"q"', "\\", "%E", "%25", "a,b", "\t", "%0A\\n"]
+    rows = spark.createDataFrame([(i, t, i % 2) for i, t in enumerate(texts)], "id long, text string, site int")
+    times = "timestamp_ntz'2024-01-02 03:04:05.678901' + make_dt_interval(0, 0, 0, id) as at"
+    rows = rows.selectExpr("*", times)
+    files.write_table(rows, f"{tmp_path}/t", "csv", escaped=True)
+    back = files.read_table(spark, f"{tmp_path}/t", "csv", rows.schema, escaped=True)
+    assert sorted(back.collect(), key=lambda r: r.id) == sorted(rows.collect(), key=lambda r: r.id)
+    prefix = files.write_sites(rows, f"{tmp_path}/s", "t", 0, 2, escaped=True)
+    schema = rows.drop("site").schema
+    back = files.read_sites(spark, prefix, 0, 2, schema=schema, escaped=True)
+    assert sorted(back.select(*rows.columns).collect(), key=lambda r: r.id) == rows.orderBy("id").collect()

@@ -26,7 +26,7 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from ..operators.frequencies import merge_key_frequencies, shared_key_counts, site_key_frequencies
 from ..operators.keys import digest_rows, identify_rows
 from ..operators.pairing import pair_on_slot
-from ..sources.sites import TABLE_SCHEMA, read_sites, write_table
+from ..sources.sites import TABLE_SCHEMA, read_sites, read_table, write_table
 from .report import observe_size
 from .sampling import Settings, join_sample, site_samples, zip_slots
 
@@ -202,8 +202,7 @@ def _read_sites(
 def _read(
     spark: SparkSession, paths: list[str], fmt: str, schema: StructType, base: str | None = None
 ) -> DataFrame:
-    reader = spark.read.format(fmt).schema(schema).option("header", "false")
-    return (reader.option("basePath", base) if base else reader).load(paths)
+    return read_table(spark, paths, fmt, schema, escaped=True, base=base)
 
 
 def _count_schema(schema: StructType, key: str) -> StructType:
@@ -219,7 +218,7 @@ def _save(
     written: Metrics = []
     for phase, table, site, df, path in outputs:
         counted, seen = observe_size(df, f"{phase}-{table}-{site}")
-        write_table(counted, path, fmt)
+        write_table(counted, path, fmt, escaped=phase != "join")
         written.append({"phase": phase, "table": table, "site": site, "path": path, **seen.get})
     if metrics is not None:
         fields = "phase string, table int, site int, path string, n_rows long, n_bytes long"

@@ -49,58 +49,133 @@ def read_sites(
     *,
     schema: StructType = TABLE_SCHEMA,
     only: int | Sequence[int] | None = None,
+    escaped: bool = False,
 ) -> DataFrame:
     """One table from the CSV paths of its sites, with a ``site`` column.
 
     All sites are one scan over a list of paths.  ``only`` reads some sites'
-    paths and leaves the others untouched.
+    paths and leaves the others untouched.  ``escaped`` says that the files were
+    written so.
     """
     wanted = range(sites) if only is None else [only] if isinstance(only, int) else only
     paths = [table_path(prefix, table, site, sites) for site in wanted]
     site = F.regexp_extract(F.col("_metadata.file_path"), SITE_PATTERN, 1).cast("int")
-    rows = spark.read.csv(paths, schema=schema, header=False, sep=",")
-    return rows.withColumn("site", site)
+    rows = spark.read.schema(schema).options(header=False, **_options(escaped)).csv(paths)
+    rows = rows.withColumn("site", site)
+    return _unescape(rows) if escaped else rows
 
 
 def write_sites(
-    df: DataFrame, folder: str, name: str, table: int, sites: int, *, site: str = "site"
+    df: DataFrame,
+    folder: str,
+    name: str,
+    table: int,
+    sites: int,
+    *,
+    site: str = "site",
+    escaped: bool = False,
 ) -> str:
     """Write a table with a ``site`` column in one pass; returns the prefix to read it by.
 
     Each site becomes a path of the template, under ``folder/file=name``.  A
     table replaces its own paths and leaves other tables in the folder alone.
+    With ``escaped`` every value reads back as it was; see ``write_table``.
     """
     if any(mark in name for mark in "/=%"):
         raise ValueError(f"{name!r} cannot be part of a file name")
     number = F.col(site).cast("string")
     path = F.concat(F.lit(f"{name}_t_{table}_p_"), number, F.lit(f"_of_{sites}.csv"))
     (
-        df.withColumn("file", path)
+        (_escape(df) if escaped else df)
+        .withColumn("file", path)
         .drop(site)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("file")
-        .csv(folder, header=False)
+        .options(header=False, **_options(escaped))
+        .csv(folder)
     )
     return f"{folder}/file={name}"
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: StructType | None = None
+    spark: SparkSession,
+    path: str | Sequence[str],
+    fmt: str = "parquet",
+    schema: StructType | None = None,
+    *,
+    escaped: bool = False,
+    base: str | None = None,
 ) -> DataFrame:
+    """One scan of a path or of several; ``base`` is where their partition folders begin."""
     _check(fmt)
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    reader = reader if base is None else reader.option("basePath", base)
+    paths = [path] if isinstance(path, str) else list(path)
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return reader.parquet(*paths)
     if schema is None:
         raise ValueError("headerless CSV needs a schema")
-    return spark.read.csv(path, schema=schema, header=False)
+    rows = reader.options(header=False, **_options(escaped)).csv(paths)
+    return _unescape(rows) if escaped else rows
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """Overwrite ``path``; CSV comes without a header."""
+def write_table(
+    df: DataFrame, path: str, fmt: str = "parquet", *, escaped: bool = False
+) -> None:
+    """Overwrite ``path``; CSV comes without a header.
+
+    Plain CSV cannot tell an empty text from NULL, and a line break ends a row.
+    With ``escaped``, texts hold ``%E`` for empty and ``%25 %0A %0D %22 %5C`` for
+    ``%``, line breaks, quotes and backslashes, and files stay splittable; read
+    them with ``escaped`` as well.  Times are written to the microsecond then.
+    """
     _check(fmt)
-    writer = df.write.mode("overwrite")
-    writer.parquet(path) if fmt == "parquet" else writer.csv(path, header=False)
+    if fmt == "parquet":
+        df.write.mode("overwrite").parquet(path)
+        return
+    writer = (_escape(df) if escaped else df).write.mode("overwrite")
+    writer.options(header=False, **_options(escaped)).csv(path)
+
+
+def _options(escaped: bool) -> dict[str, object]:
+    """CSV options; spaces around a value belong to it in files of our own."""
+    spaces = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    if not escaped:
+        return spaces
+    return spaces | dict(
+        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+        timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    )
+
+
+# Signs that plain CSV loses or changes, and what stands for them.
+ESCAPES = (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"), ('"', "%22"), ("\\", "%5C"))
+EMPTY = "%E"
+
+
+def _texts(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType)]
+
+
+def _escape(df: DataFrame) -> DataFrame:
+    out = {}
+    for name in _texts(df):
+        text = F.col(quoted(name))
+        for sign, code in ESCAPES:
+            text = F.replace(text, F.lit(sign), F.lit(code))
+        out[name] = F.when(text == "", EMPTY).otherwise(text)
+    return df.withColumns(out) if out else df
+
+
+def _unescape(df: DataFrame) -> DataFrame:
+    out = {}
+    for name in _texts(df):
+        text = F.when(F.col(quoted(name)) == EMPTY, "").otherwise(F.col(quoted(name)))
+        for sign, code in reversed(ESCAPES):
+            text = F.replace(text, F.lit(code), F.lit(sign))
+        out[name] = text
+    return df.withColumns(out) if out else df
 
 
 def rendered_bytes(df: DataFrame, columns: Sequence[str] | None = None):
