@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, column, table
+from .common import MEMO_WORDS, column, table, whole_text
 from .packing import ChunkEncoder
 
 
@@ -173,8 +173,7 @@ def encode_documents(
         packed = _encoder(path, pattern).encode_all(texts.tolist())
         return pd.Series([np.frombuffer(p, "<i4") for p in packed], dtype=object)
 
-    text = F.coalesce(column(text_col), F.lit(""))
-    return docs.select(column(id_col).alias("id"), ids(text).alias("ids"))
+    return docs.select(column(id_col).alias("id"), ids(whole_text(text_col)).alias("ids"))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -203,8 +202,7 @@ def token_digests(
             rows.append((len(packed) // 4, own, back))
         return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    text = F.coalesce(column(text_col), F.lit(""))
-    found = docs.select(column(id_col).alias("id"), digests(text).alias("found"))
+    found = docs.select(column(id_col).alias("id"), digests(whole_text(text_col)).alias("found"))
     return found.select("id", "found.*")
 
 

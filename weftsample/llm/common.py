@@ -13,7 +13,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 #: Distinct words that a task remembers before it starts anew; bounds its memory.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 60_000
+
+#: Bytes of text that are handed to Python at a time.  Batches are counted in rows
+#: by default, and ten thousand whole documents can be more than a worker holds.
+BATCH_CONF, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,9 +35,21 @@ def text_bytes(text: str) -> Column:
     ``bytes.split()`` then yields the words ``[^\\x20\\x09-\\x0D]+``, and
     ``bytes.lower()`` lower-cases A-Z only.
     """
+    _bound_batches()
     return F.coalesce(column(text).cast("binary"), F.lit(b""))
 
 
+def whole_text(text: str) -> Column:
+    """A text column, null as empty."""
+    _bound_batches()
+    return F.coalesce(column(text), F.lit(""))
+
+
+def _bound_batches() -> None:
+    """Hand at most ``BATCH_BYTES`` to Python at a time in this session from here on."""
+    SparkSession.active().conf.set(BATCH_CONF, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors both see.
 

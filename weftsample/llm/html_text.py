@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, table
+from .common import column, table, whole_text
 
 # Element names by what they do, as the HTML standard lists them.
 VOID = frozenset(
@@ -302,8 +302,7 @@ def page_texts(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "ht
     Rows are rendered each; other columns are not read.  Pages are never cut,
     however deep their elements are nested.
     """
-    page = F.coalesce(column(html_col), F.lit(""))
-    return pages.select(column(id_col).alias("id"), _rendered(page).alias("text"))
+    return pages.select(column(id_col).alias("id"), _rendered(whole_text(html_col)).alias("text"))
 
 
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

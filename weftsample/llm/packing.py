@@ -11,14 +11,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, stored, table
+from .common import column, stored, table, whole_text
 
 #: Token of the documents' end, and the room of a sequence, as the contract has them.
 END_ID = 2
 CAPACITY = 1024
 
 #: Chunks of text whose ids a task remembers before it starts anew.
-MEMO_CHUNKS = 500_000
+MEMO_CHUNKS = 150_000
 
 #: Characters of text whose unknown chunks are encoded together.
 BLOCK_CHARS = 1 << 20
@@ -162,8 +162,7 @@ def token_pieces(
             out.append(rows)
         return pd.Series(out, dtype=object)
 
-    text = F.coalesce(column(text_col), F.lit(""))
-    return docs.select(column(id_col).alias("id"), F.inline(pieces(text)))
+    return docs.select(column(id_col).alias("id"), F.inline(pieces(whole_text(text_col))))
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

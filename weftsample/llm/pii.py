@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, table
+from .common import column, table, whole_text
 
 #: The kinds of the base, in their order, and those the method adds.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -202,18 +202,19 @@ def _spans(texts: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StringType())
 def _masked(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else masked(t, find_spans(t)))
+    return texts.map(lambda t: masked(t, find_spans(t)))
 
 
 def personal_spans(text_col: str = "text") -> Column:
     """Spans of each whole text; a null or empty text has none."""
-    return _spans(F.coalesce(column(text_col), F.lit("")))
+    return _spans(whole_text(text_col))
 
 
 def mask_personal_data(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked; rows, columns, null and empty texts stay."""
+    text = F.when(column(text_col).isNotNull(), _masked(whole_text(text_col)))
     fields = [
-        _masked(column(c)).alias(c) if c == text_col else column(c) for c in docs.columns
+        text.alias(c) if c == text_col else column(c) for c in docs.columns
     ]
     return docs.select(*fields)
 
