@@ -38,11 +38,11 @@ def test_scratch_folders_are_in_the_shared_folder(spark, shared_folder):
     assert a != b and a.startswith(f"{shared_folder}/x-")
 
 
-def test_scratch_folder_on_a_cluster_needs_the_setting():
-    conf = SimpleNamespace(get=lambda name, default: default)
-    cluster = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="yarn"))
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        files.scratch_folder(cluster, "x")
+def test_without_the_setting_the_warehouse_is_shared():
+    settings = {"spark.sql.warehouse.dir": "hdfs://cluster/warehouse/"}
+    conf = SimpleNamespace(get=lambda name, default=None: settings.get(name, default))
+    folder = files.scratch_folder(SimpleNamespace(conf=conf), "x")
+    assert folder.startswith("hdfs://cluster/warehouse/scratch/x-")
 
 
 def test_keys_overlap(spark):
