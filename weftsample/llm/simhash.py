@@ -61,27 +61,36 @@ class ProductCode:
     BLOCKS = ((0, 23), (23, 23)) + tuple((46 + 3 * i, 3) for i in range(6))
 
     def __init__(self) -> None:
-        reduce = np.arange(1 << 23, dtype=np.uint32)
-        for bit in range(22, 10, -1):
-            high = (reduce >> np.uint32(bit)) & np.uint32(1)
-            reduce ^= high * np.uint32(self.GOLAY << (bit - 11))
-        self.syndrome = reduce.astype(np.uint16)
+        # Remainders are linear: those of the upper and of the lower bits add up.
+        self.upper = self._remainders(np.arange(1 << 11, dtype=np.uint32) << np.uint32(12))
+        self.lower = self._remainders(np.arange(1 << 12, dtype=np.uint32))
         self.leader = np.zeros(1 << 11, np.uint32)
         for weight in range(4):
             for bits in combinations(range(23), weight):
                 word = sum(1 << b for b in bits)
-                self.leader[self.syndrome[word]] = word
+                self.leader[self.syndrome(np.uint32(word))] = word
         self.majority = np.array([0, 0, 0, 7, 0, 7, 7, 7], np.uint64)
 
+    def _remainders(self, words: np.ndarray) -> np.ndarray:
+        for bit in range(22, 10, -1):
+            words = words ^ ((words >> np.uint32(bit)) & np.uint32(1)) * np.uint32(
+                self.GOLAY << (bit - 11)
+            )
+        return words
+
+    def syndrome(self, words: np.ndarray) -> np.ndarray:
+        """Remainder of 23-bit words by the generator polynomial: zero for code words."""
+        return self.upper[words >> np.uint32(12)] ^ self.lower[words & np.uint32(0xFFF)]
+
     def _golay(self, words: np.ndarray) -> np.ndarray:
-        return words ^ self.leader[self.syndrome[words]]
+        return words ^ self.leader[self.syndrome(words)]
 
     def home(self, prints: np.ndarray) -> np.ndarray:
         """The anchor within the covering radius of each fingerprint."""
         out = np.zeros_like(prints)
         for at, width in self.BLOCKS:
             block = (prints >> np.uint64(at)) & np.uint64((1 << width) - 1)
-            near = self.majority[block] if width == 3 else self._golay(block).astype(np.uint64)
+            near = self.majority[block] if width == 3 else self._golay(block.astype(np.uint32)).astype(np.uint64)
             out |= near << np.uint64(at)
         return out
 
