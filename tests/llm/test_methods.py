@@ -139,3 +139,10 @@ def test_layout():
         "Head", "", "one", "two", "", "par bold x", "", "next", "", "- a", "- b", "  1. n", "  2. m",
         "", "Name  Qty", "Fig   12", "", "a  b", " c", "", "&",
     ]
+
+
+def test_long_phone_runs_are_counted_to_the_end():
+    text = "+1" + " " * 4100 + "23456789"
+    assert pii.find_spans(text) == [("phone", 0, 4110)]
+    assert pii.find_spans("+1" + " " * 4100 + "2" * 15) == []
+    assert pii.find_spans("+1" + " " * 4100 + "2" * 14) == [("phone", 0, 4116)]
