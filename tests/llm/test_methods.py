@@ -141,6 +141,29 @@ def test_layout():
     ]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> b", "a x=2 b"),
+        (
+            "a <svg><title>no</title><desc/><defs><text>no</text></defs>no<rect/><text>One</text>"
+            "<text><tspan x=1>Two</tspan><tspan x=1>more</tspan></text></svg> b",
+            "a One Two more b",
+        ),
+        ("<svg><foreignObject><p>in</p></foreignObject></svg><p>out", "in\n\nout"),
+        ("a<textarea>\nx  &lt;b>\n y</textarea>b", "a\nx  <b>\n y\nb"),
+        ("a <select><option>One<option selected>Two<option>no</select> b", "a Two b"),
+        ("a <select>no<option disabled>no<option>Two</option></select> b", "a Two b"),
+        ("a<select multiple><optgroup><option>One<optgroup><option>Two</select>b", "a\nOne\nTwo\nb"),
+        ("a <object>shown</object> <object data=x.pdf>no</object>b", "a shown b"),
+        ("a<audio>no</audio><canvas>no</canvas><datalist><option>no</datalist>b", "ab"),
+    ],
+    ids=["math", "svg", "foreign", "textarea", "select", "first", "multiple", "object", "others"],
+)
+def test_what_browsers_show_is_kept(page, text):
+    assert render(page) == text
+
+
 def test_long_phone_runs_are_counted_to_the_end():
     text = "+1" + " " * 4100 + "23456789"
     assert pii.find_spans(text) == [("phone", 0, 4110)]

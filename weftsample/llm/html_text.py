@@ -19,9 +19,16 @@ VOID = frozenset(
 )
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 INVISIBLE = frozenset(
-    "script style title head template noscript iframe noembed noframes object audio video "
-    "canvas svg math datalist select textarea meta link base param source track".split()
+    "script style title head template noscript iframe noembed noframes audio video "
+    "canvas datalist meta link base param source track annotation annotation-xml".split()
 )
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset(
+    "desc defs metadata symbol clippath mask pattern marker filter lineargradient "
+    "radialgradient".split()
+)
+#: Foreign elements, in which an empty element may end itself, and those that lead back.
+FOREIGN, INTEGRATED = frozenset({"svg", "math"}), frozenset({"foreignobject", "annotation-xml"})
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset "
     "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu "
@@ -43,6 +50,7 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
 #: End tags do not reach beyond these.
@@ -84,6 +92,11 @@ def parse(page: str):
                 found = k
         return found
 
+    def foreign() -> bool:
+        if not (open_["svg"] or open_["math"]):
+            return False
+        return next(n for n in reversed(stack) if n in FOREIGN or n in INTEGRATED) in FOREIGN
+
     while at < size:
         token = _TOKEN.search(page, at) if at <= last_tag or "<!" in page[at:] else None
         if not token:
@@ -112,12 +125,15 @@ def parse(page: str):
             open_["tr"] += 1
             yield 1, "tr", ""
         yield 1, name, token.group(3)
-        if name in VOID or token.group(3).endswith("/") and name in ("svg", "math", "path"):
+        if name in VOID or token.group(3).endswith("/") and (name in FOREIGN or foreign()):
             yield -1, name, None
         elif name in RAW:
             end = re.compile(f"</{name}[\\s/>]", re.I).search(page, at)
             stop = end.start() if end else size
-            yield 0, page[at:stop], None
+            text = page[at:stop]
+            if name == "textarea":
+                text = html.unescape(re.sub(r"\A(?:\r\n|\r|\n)", "", text))
+            yield 0, text, None
             yield -1, name, None
             at = page.find(">", stop) + 1 or size
         else:
@@ -127,11 +143,16 @@ def parse(page: str):
 
 
 def hidden(name: str, attributes: str) -> bool:
-    """Elements that a page does not show."""
+    """Elements that a page does not show.
+
+    What stands in an ``object`` with data is for browsers that cannot show the data.
+    """
     if name in INVISIBLE:
         return True
     if not attributes or attributes.isspace():
         return False
+    if name == "object" and _values(attributes).get("data"):
+        return True
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).strip().lower()
         if key == "hidden" and value != "until-found":
@@ -143,6 +164,12 @@ def hidden(name: str, attributes: str) -> bool:
     return False
 
 
+def _values(attributes: str | None) -> dict[str, str]:
+    """Values of attributes by their names in lower case; of repeated ones the first counts."""
+    found = reversed(_ATTRIBUTE.findall(attributes or ""))
+    return {key.lower(): html.unescape("".join(values)) for key, *values in found}
+
+
 class _Block:
     """Lines of a block under construction, and the line that is being written."""
 
@@ -211,29 +238,100 @@ class _Table:
         return out
 
 
+class _Select:
+    """Options of a list: a closed one shows the chosen option, an open one shows all."""
+
+    def __init__(self, attributes: str) -> None:
+        own = _values(attributes)
+        size = own.get("size", "").strip()
+        self.open = "multiple" in own or size.isdecimal() and int(size) > 1
+        self.options: list[tuple[dict[str, str], str]] = []
+
+    def lines(self) -> list[str]:
+        texts = [own.get("label") or text for own, text in self.options]
+        if self.open:
+            return texts
+        chosen = [k for k, (own, _) in enumerate(self.options) if "selected" in own][-1:]
+        usable = [k for k, (own, _) in enumerate(self.options) if "disabled" not in own]
+        return [texts[k] for k in chosen or usable[:1]]
+
+
+class _Inset:
+    """Drawings and lists: elements in which only the text of some elements is shown."""
+
+    def __init__(self) -> None:
+        self.shown: list[tuple[str, bool]] = []
+        self.selects: list[_Select] = []
+        self.chosen: list[dict[str, str]] = []
+
+    def hides(self) -> bool:
+        """True where text by itself is not shown."""
+        return bool(self.shown) and not self.shown[-1][1]
+
+    def undrawn(self, name: str) -> bool:
+        return name in UNDRAWN and any(n == "svg" for n, _ in self.shown)
+
+    def start(self, name: str, attributes: str, blocks: list[_Block]) -> None:
+        inside = self.shown[-1][0] if self.shown else ""
+        if name in ("svg", "select"):
+            self.shown.append((name, False))
+            if name == "select":
+                self.selects.append(_Select(attributes))
+        elif inside == "svg" and name in ("text", "foreignobject"):
+            self.shown.append((name, True))
+            blocks[-1].space = True
+        elif inside == "text" and name == "tspan" and _values(attributes).keys() & {"x", "y", "dy"}:
+            blocks[-1].space = True
+        elif inside == "select" and name == "option":
+            self.shown.append((name, True))
+            self.chosen.append(_values(attributes))
+            blocks.append(_Block())
+
+    def end(self, name: str, blocks: list[_Block]) -> None:
+        if not self.shown or self.shown[-1][0] != name:
+            return
+        self.shown.pop()
+        if name == "option":
+            option = blocks.pop()
+            option.end_line()
+            self.selects[-1].options.append((self.chosen.pop(), " ".join(option.lines)))
+        elif name == "select":
+            select = self.selects.pop()
+            if select.open:
+                blocks[-1].add(select.lines())
+            else:
+                blocks[-1].write(f" {' '.join(select.lines())} ")
+        else:
+            blocks[-1].space = True
+
+
 def render(page: str) -> str:
     """All visible text of a page, laid out.
 
     White space collapses except in ``pre``; paragraphs, headings, lists and
     tables stand apart by an empty line; list items have bullets or numbers and
-    are indented by depth; table cells are aligned in columns.  A page without
-    visible text is the empty string.
+    are indented by depth; table cells are aligned in columns.  Formulas, the
+    labels of drawings, the preset text of fields and the options that a list
+    shows are part of it.  A page without visible text is the empty string.
     """
     blocks, tables, lists, dark, pre = [_Block()], [], [], 0, 0
+    inset = _Inset()
     for kind, value, attributes in parse(page):
         if kind > 0:
-            if dark or hidden(value, attributes):
+            if dark or hidden(value, attributes) or inset.undrawn(value):
                 dark += 1
                 continue
+            inset.start(value, attributes, blocks)
             _start(value, attributes, blocks, tables, lists)
-            pre += value == "pre"
+            pre += value in ("pre", "textarea")
         elif kind < 0:
             if dark:
                 dark -= 1
                 continue
-            pre -= value == "pre"
+            pre -= value in ("pre", "textarea")
             _end(value, blocks, tables, lists)
-        elif not dark:
+            inset.end(value, blocks)
+        elif not dark and not inset.hides():
             blocks[-1].write(value, pre > 0)
     blocks[0].end_line()
     return "\n".join(blocks[0].lines).strip("\n")
@@ -243,7 +341,7 @@ def _start(name, attributes, blocks, tables, lists) -> None:
     block = blocks[-1]
     if name == "br":
         block.end_line(True)
-    elif name in BLOCK:
+    elif name in BLOCK or name == "textarea":
         block.end_line()
         if name in SPACED and not (name in ("ul", "ol") and lists):
             block.gap = True
@@ -269,7 +367,7 @@ def _start(name, attributes, blocks, tables, lists) -> None:
 
 def _end(name, blocks, tables, lists) -> None:
     block = blocks[-1]
-    if name in BLOCK:
+    if name in BLOCK or name == "textarea":
         block.end_line()
         if name in SPACED and not (name in ("ul", "ol") and len(lists) > 1):
             block.gap = True
