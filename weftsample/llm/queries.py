@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op9_html_extraction
+from .merkle import OP12_SQL, op12_merkle_manifest
 from .packing import op2_best_fit_packing
 from .pii import op4_pii
 from .quality_model import op10_quality_classifier
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL}
+ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op12_merkle_manifest": OP12_SQL}
