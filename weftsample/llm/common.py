@@ -12,6 +12,13 @@ SPACES = b" \t\n\r\x0b\x0c"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+#: crc32 of an ASCII text for DuckDB, bit by bit; the fixed value is the reversed polynomial.
+CRC32_SQL = """xor(list_reduce(
+    list_transform(range(length({0})), lambda i: ord(({0})[i + 1])::BIGINT),
+    lambda c, b: list_reduce(range(8),
+        lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
+    4294967295), 4294967295)"""
+
 #: Distinct words that a task remembers before it starts anew; bounds its memory.
 MEMO_WORDS = 60_000
 
@@ -35,17 +42,17 @@ def text_bytes(text: str) -> Column:
     ``bytes.split()`` then yields the words ``[^\\x20\\x09-\\x0D]+``, and
     ``bytes.lower()`` lower-cases A-Z only.
     """
-    _bound_batches()
+    bound_batches()
     return F.coalesce(column(text).cast("binary"), F.lit(b""))
 
 
 def whole_text(text: str) -> Column:
     """A text column, null as empty."""
-    _bound_batches()
+    bound_batches()
     return F.coalesce(column(text), F.lit(""))
 
 
-def _bound_batches() -> None:
+def bound_batches() -> None:
     """Hand at most ``BATCH_BYTES`` to Python at a time in this session from here on."""
     SparkSession.active().conf.set(BATCH_CONF, str(BATCH_BYTES))
 

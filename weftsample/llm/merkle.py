@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, stored, table
+from .common import CRC32_SQL, column, stored, table
 
 #: Children of a node, as the contract has it.
 ARITY = 3
@@ -263,14 +263,6 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
-#: crc32 of a decimal number, bit by bit; the fixed value is the reversed polynomial.
-_CRC = """xor(list_reduce(
-    list_transform(range(length({0})), lambda i: ord(({0})[i + 1])::BIGINT),
-    lambda c, b: list_reduce(range(8),
-        lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)),
-    4294967295), 4294967295)"""
-
-
 def _sql_leaf(text: str) -> str:
     fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
     parts = [f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields]
@@ -280,7 +272,7 @@ def _sql_leaf(text: str) -> str:
 OP12_SQL = f"""
 WITH RECURSIVE leaves AS (
     SELECT doc_id, coalesce('1' || source, '0') AS grp, {_sql_leaf("text")} AS leaf,
-           CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 = 0
+           CASE WHEN {CRC32_SQL.format("CAST(doc_id AS VARCHAR)")} % 2 = 0
                 THEN {_sql_leaf("replace(text, chr(10), '')")}
                 ELSE {_sql_leaf("text")} END AS found,
            row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx

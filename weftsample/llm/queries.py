@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .conversations import OP11_SQL, op11_conversation_repair
 from .exact_dedup import OP1_SQL, op1_exact_dedup
 from .html_text import op9_html_extraction
 from .merkle import OP12_SQL, op12_merkle_manifest
@@ -25,7 +26,12 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_html_extraction": op9_html_extraction,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": OP1_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLE_SQL = {
+    "op1_exact_dedup": OP1_SQL,
+    "op11_conversation_repair": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
+}
