@@ -14,6 +14,7 @@ from .quality_rules import op7_quality_rules
 from .simhash import op3_simhash_near_dedup
 from .substring_dedup import op8_substring_dedup
 from .toxicity import op5_toxicity
+from .window_filling import op13_window_filling
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_window_filling": op13_window_filling,
 }
 
 ORACLE_SQL = {
