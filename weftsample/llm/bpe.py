@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
+from collections.abc import Callable
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -13,8 +16,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_WORDS, column, table, whole_text
-from .packing import ChunkEncoder
+from .common import column, table, whole_text
+
+#: Bytes of chunks and of pre-tokens that a worker remembers; texts longer than this are not.
+CHUNK_BYTES, WORD_BYTES, LONGEST_KNOWN = 96 << 20, 128 << 20, 64
+
+#: Cuts where one space stands between two signs that are not white space.
+BETWEEN = re.compile(r"(?<=\S) (?=\S)").split
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -79,74 +87,112 @@ class PerfectHash:
         return self.values[place] if self.keys[place] == key else None
 
 
-def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of a pre-token: always the pair of lowest rank is merged, the leftmost of equals.
+def merge_pairs(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The token that two tokens side by side make, by ``left << 32 | right``."""
+    pairs = {}
+    for token, rank in ranks.items():
+        for cut in range(1, len(token)):
+            left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+            if left is not None and right is not None:
+                pairs[left << 32 | right] = rank
+    return pairs
+
 
-    The parts are a linked list over byte positions; the heap holds pairs by
-    rank and position, and an entry is stale once either of its parts is gone.
+def merge_bytes(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """Ids of a pre-token from those of its bytes: always the pair of lowest rank is
+    merged, the leftmost of equals.
+
+    The parts are a linked list over byte positions.  The heap holds rank and
+    position of a pair as one integer; an entry is stale once its left part is
+    gone or the pair there makes another token.
     """
-    n = len(word)
+    n = len(ids)
     after = list(range(1, n + 1))
     before = list(range(-1, n))
-    heap = []
-    for i in range(n - 1):
-        rank = ranks.get(word[i : i + 2])
-        if rank is not None:
-            heap.append((rank, i, i + 2))
+    # Token of the pair that starts at each position; -1 where there is none.
+    made = [pairs.get(a << 32 | b, -1) for a, b in zip(ids, ids[1:], strict=False)]
+    made.append(-1)
+    heap = [rank << 32 | i for i, rank in enumerate(made) if rank >= 0]
     heapify(heap)
     while heap:
-        _, i, end = heappop(heap)
-        j = after[i]
-        # The pair still stands if part i ends at j and part j at end.
-        if j >= n or j < 0 or after[j] != end:
+        entry = heappop(heap)
+        i, rank = entry & 0xFFFFFFFF, entry >> 32
+        if made[i] != rank:
             continue
-        after[i], after[j] = end, -1
+        j = after[i]
+        end = after[j]
+        ids[i], after[i] = rank, end
+        made[i] = made[j] = ids[j] = -1
         if end < n:
             before[end] = i
-            right = after[end]
-            rank = ranks.get(word[i:right])
-            if rank is not None:
-                heappush(heap, (rank, i, right))
+            found = made[i] = pairs.get(rank << 32 | ids[end], -1)
+            if found >= 0:
+                heappush(heap, found << 32 | i)
         left = before[i]
         if left >= 0:
-            rank = ranks.get(word[left:end])
-            if rank is not None:
-                heappush(heap, (rank, left, end))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[word[i : after[i]]])
-        i = after[i]
-    return out
+            found = made[left] = pairs.get(ids[left] << 32 | rank, -1)
+            if found >= 0:
+                heappush(heap, found << 32 | left)
+    return [i for i in ids if i >= 0]
+
+
+class Memory(dict):
+    """Ids of texts seen, bounded in bytes: when full, the half that came first goes."""
 
+    #: Bytes that an entry takes beside its text and ids.
+    ENTRY = 200
 
-class TwoTierEncoder(ChunkEncoder):
-    """Ids of whole texts as packed 32-bit numbers; remembers chunks and pre-tokens."""
+    def __init__(self, encode: Callable[[str], bytes], most: int) -> None:
+        self.encode, self.most, self.size = encode, most, 0
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.encode(text)
+        if len(text) <= LONGEST_KNOWN:
+            self[text] = ids
+            self.size += len(text) + len(ids) + self.ENTRY
+            if self.size > self.most:
+                for old in list(islice(self, len(self) // 2)):
+                    self.size -= len(old) + len(self.pop(old)) + self.ENTRY
+        return ids
+
+
+class TwoTierEncoder:
+    """Ids of whole texts as packed 32-bit numbers.
+
+    A pre-token holds no space between two signs that are not white space, but
+    at its start.  So texts are cut there first, and the chunks are remembered
+    by what follows that space.
+    """
 
     def __init__(self, path: str, pattern: str) -> None:
         self.ranks = read_ranks(path)
         self.whole = PerfectHash(self.ranks)
+        self.pairs = merge_pairs(self.ranks)
         self.split = regex.compile(pattern).findall
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.memo: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, chunks: list[str]) -> None:
-        words = self.words
-        if len(words) > MEMO_WORDS:
-            words.clear()
-        for chunk in chunks:
-            parts = self.split(chunk[1:] if chunk[0] == "\n" else " " + chunk)
-            self.memo[chunk] = b"".join([words.get(p) or self._word(p) for p in parts])
+        self.single = [self.ranks[bytes([b])] for b in range(256)]
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.tokens = np.array(tokens, object)
+        self.words = Memory(self._word, WORD_BYTES)
+        self.chunks = Memory(lambda chunk: self._parts(" " + chunk), CHUNK_BYTES)
+
+    def encode(self, text: str) -> bytes:
+        first, *rest = BETWEEN(text)
+        return self._parts(first) + b"".join(map(self.chunks.__getitem__, rest))
+
+    def _parts(self, chunk: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(chunk)))
 
     def _word(self, part: str) -> bytes:
         word = part.encode()
         rank = self.whole.get(word)
-        ids = merge_bytes(word, self.ranks) if rank is None else (rank,)
-        packed = self.words[part] = b"".join([i.to_bytes(4, "little") for i in ids])
-        return packed
+        if rank is not None:
+            return rank.to_bytes(4, "little")
+        return np.array(merge_bytes([self.single[b] for b in word], self.pairs), "<u4").tobytes()
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        return b"".join(self.tokens[np.frombuffer(packed, "<u4")].tolist())
 
 
 _ENCODERS: dict[tuple[str, str], TwoTierEncoder] = {}
@@ -170,8 +216,8 @@ def encode_documents(
 
     @F.pandas_udf("array<int>")
     def ids(texts: pd.Series) -> pd.Series:
-        packed = _encoder(path, pattern).encode_all(texts.tolist())
-        return pd.Series([np.frombuffer(p, "<i4") for p in packed], dtype=object)
+        encode = _encoder(path, pattern).encode
+        return pd.Series([np.frombuffer(encode(t), "<i4") for t in texts], dtype=object)
 
     return docs.select(column(id_col).alias("id"), ids(whole_text(text_col)).alias("ids"))
 
@@ -196,7 +242,8 @@ def token_digests(
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
     def digests(texts: pd.Series) -> pd.DataFrame:
         encoder, rows = _encoder(path, pattern), []
-        for packed in encoder.encode_all(texts.tolist()):
+        for text in texts:
+            packed = encoder.encode(text)
             own = hashlib.sha256(packed).hexdigest()
             back = hashlib.sha256(encoder.decode(packed)).hexdigest()
             rows.append((len(packed) // 4, own, back))
