@@ -50,7 +50,6 @@ def tokens(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     found = tokenizer.encode_batch(list(texts), add_special_tokens=False)
     return [[*e.ids, 2] for e in found]
 

@@ -4,12 +4,15 @@ import random
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
 from weftsample.llm import packing, pii, quality_rules, toxicity
-from weftsample.llm.bpe import PerfectHash, merge_bytes
+from weftsample.llm.bpe import (
+    Memory, PerfectHash, TwoTierEncoder, merge_bytes, merge_pairs, read_ranks,
+)
 from weftsample.llm.html_text import render
-from weftsample.llm.near_copies import keep_one_near_copy
 from weftsample.llm.simhash import ProductCode
 
 
@@ -45,14 +48,6 @@ def test_fullest_is_the_best_of_all_subsets():
         assert all(k <= items.count(n) for n, k in chosen.items())
 
 
-def test_chunks_are_encoded_as_the_whole_is():
-    encoder = packing.ChunkEncoder(packing.vocabulary_path())
-    texts = ["", " ", "a", " a  b", "x \n y", "it's  I'm", "  a  b", "a " * 50, "\t a", "é ü　z"]
-    for text, packed in zip(texts, encoder.encode_all(texts), strict=True):
-        whole = encoder.tokenizer.encode(text, add_special_tokens=False).ids
-        assert np.frombuffer(packed, "<u4").tolist() == whole
-
-
 def test_every_anchor_in_reach_is_found():
     code, rng = ProductCode(), np.random.default_rng(1)
     prints = rng.integers(0, 2**63, 20).astype(np.uint64)
@@ -63,23 +58,6 @@ def test_every_anchor_in_reach_is_found():
             assert code.home(np.array([near]))[0] in anchors
 
 
-def test_one_of_each_group_of_near_copies_stays(spark):
-    rng = random.Random(7)
-    rows, group = [], {}
-    for g in range(40):
-        words = [f"w{rng.randint(0, 5000)}" for _ in range(250)]
-        for copy in range(g % 4 + 1):
-            own = list(words)
-            for _ in range(min(copy, 2)):  # similarity of about 0.92 and more
-                own[rng.randint(0, 249)] = "changed"
-            group[len(rows)] = g
-            rows.append((len(rows), " ".join(own)))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = [r.doc_id for r in keep_one_near_copy(docs).collect()]
-    assert sorted(group[i] for i in kept) == list(range(40))
-    assert all(i == min(j for j in group if group[j] == group[i]) for i in kept)
-
-
 def test_personal_data_is_masked():
     text = "to a.b@c.org, ip 10.0.0.1, +44 20 7946 0958; card 4111 1111 1111 1111"
     found = pii.find_spans(text)
@@ -126,7 +104,36 @@ def test_perfect_hash_and_merges():
     assert all(table.get(k) == v for k, v in items.items())
     assert table.get(b"other") is None and PerfectHash({}).get(b"a") is None
     ranks = {bytes([c]): c for c in range(256)} | {b"ab": 256, b"bc": 257, b"abc": 258}
-    assert merge_bytes(b"abcbc", ranks) == [258, 257]
+    assert merge_bytes(list(b"abcbc"), merge_pairs(ranks)) == [258, 257]
+    assert merge_bytes([], {}) == [] and merge_bytes([7], {}) == [7]
+
+
+def test_encoder_is_the_library():
+    ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    )
+    own = TwoTierEncoder(
+        public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    )
+    rng = random.Random(5)
+    signs = ["a", "B", "é", "ß", "1", "٣", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\u200b", "'s",
+             "'LL", "!", "\U0001f600", "<|endoftext|>", "中", "\x00", "\u0301", "\r\n", "I'm", "ing",
+             "\x1c", "\x85"]
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(5_000)]
+    for text in [*texts, "a" * 3_000, " " * 3_000, ""]:
+        packed = own.encode(text)
+        assert np.frombuffer(packed, "<u4").tolist() == library.encode_ordinary(text)
+        assert own.decode(packed) == text.encode()
+
+
+def test_memory_is_bounded_in_bytes():
+    memory, made = Memory(lambda t: made.append(t) or t.encode(), 5_000), []
+    for k in range(1_000):
+        assert memory[f"w{k}"] == memory[f"w{k}"] == f"w{k}".encode()
+        assert memory.size <= 5_000
+    assert len(made) == 1_000 and 0 < len(memory) < 25
+    assert memory["long" * 100] and "long" * 100 not in memory
 
 
 def test_layout():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_right
 
@@ -12,119 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column, stored, table, whole_text
+from .tokens import encoder, vocabulary_path
 
 #: Token of the documents' end, and the room of a sequence, as the contract has them.
 END_ID = 2
 CAPACITY = 1024
 
-#: Chunks of text whose ids a task remembers before it starts anew.
-MEMO_CHUNKS = 150_000
-
-#: Characters of text whose unknown chunks are encoded together.
-BLOCK_CHARS = 1 << 20
-
 #: Rows that share a length and a bucket are numbered by one task.
 ROWS_PER_BUCKET = 1_000
 
 
-class ChunkEncoder:
-    """Ids of whole texts, as little-endian unsigned 32-bit numbers.
-
-    A byte-level BPE never merges over a space between two signs that are not
-    white space: the text before and the text from that space on are encoded
-    alike together and apart.  So texts are cut there, and each distinct chunk
-    is encoded once.  Chunks next to other white space are not cut.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        size = self.tokenizer.get_vocab_size()
-        # Each sign of the byte alphabet stands for one byte.
-        self.width = np.array([len(self.tokenizer.id_to_token(i)) for i in range(size)])
-        self.memo: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        out, block, size = [], [], 0
-        for text in texts:
-            block.append(self.chunks(text))
-            size += len(text)
-            if size >= BLOCK_CHARS:
-                out += self._block(block)
-                block, size = [], 0
-        return out + self._block(block)
-
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        pieces = text.split(" ")
-        head = pieces[0]
-        odd = head[-1:].isspace() or any(
-            not p or p[0].isspace() or p[-1].isspace() for p in pieces[1:]
-        )
-        rest = pieces[1:]
-        if not odd:
-            # The head has no space before it; a sign no text chunk starts with marks that.
-            return ["\n" + head, *rest] if head else rest
-        whole, out = [head], []
-        for before, piece in zip(pieces, rest, strict=False):
-            plain = piece and not piece[0].isspace() and before and not before[-1].isspace()
-            if plain:
-                out.append(" ".join(whole))
-                whole = [piece]
-            else:
-                whole.append(piece)
-        out.append(" ".join(whole))
-        return ["\n" + out[0], *out[1:]] if out[0] else out[1:]
-
-    def _block(self, texts: list[list[str]]) -> list[bytes]:
-        known = self.memo
-        if len(known) > MEMO_CHUNKS:
-            known.clear()
-        new: set[str] = set()
-        for chunks in texts:
-            new.update(chunks)
-        new.difference_update(known)
-        self._learn(list(new))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in texts]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks as one text where they can stand side by side."""
-        plain = []
-        for chunk in chunks:
-            if chunk[0] == "\n":
-                self.memo[chunk] = self._ids(chunk[1:]).tobytes()
-            elif chunk[-1].isspace():
-                self.memo[chunk] = self._ids(" " + chunk).tobytes()
-            else:
-                plain.append(chunk)
-        if not plain:
-            return
-        ids = self._ids(" " + " ".join(plain))
-        lengths = np.fromiter((len(c.encode()) + 1 for c in plain), np.int64, len(plain))
-        cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(lengths)) + 1
-        packed, start = ids.tobytes(), 0
-        for chunk, end in zip(plain, (4 * cuts).tolist(), strict=True):
-            self.memo[chunk] = packed[start:end]
-            start = end
-
-    def _ids(self, text: str) -> np.ndarray:
-        encoded = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(encoded[0].ids, "<u4")
-
-
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
-def _encoder(path: str) -> ChunkEncoder:
-    """One encoder per worker and vocabulary."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
-
-
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     """Pieces ``(start, length)``; only the first may be shorter than the capacity."""
     first = (length - 1) % capacity + 1
@@ -151,8 +47,9 @@ def token_pieces(
     @F.pandas_udf(f"array<struct<{fields}>>")
     def pieces(texts: pd.Series) -> pd.Series:
         end, out = np.array([end_id], "<u4").tobytes(), []
-        for ids in _encoder(vocabulary).encode_all(texts.tolist()):
-            ids, rows = ids + end, []
+        encode = encoder(vocabulary).encode
+        for text in texts:
+            ids, rows = encode(text).tobytes() + end, []
             for number, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                 own = ids[4 * start : 4 * (start + length)]
                 row = {"piece": number, "start": start, "length": length, "crc": zlib.crc32(own)}
@@ -311,12 +208,6 @@ def pack_documents(
     return pack(stored(pieces, "packing-pieces"), capacity)
 
 
-def vocabulary_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def packed_table(docs: DataFrame) -> DataFrame:
     """The columns of the query, for any table with ``doc_id`` and ``text``."""
     packed = pack_documents(docs, vocabulary_path(), keep_ids=False)
