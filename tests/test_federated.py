@@ -1,5 +1,5 @@
 import pytest
-from pyspark.errors import AnalysisException
+from weftsample.plans.manifests import IncompletePhase
 from pyspark.sql import functions as F
 
 import weftsample as ws
@@ -101,11 +101,11 @@ def test_a_missing_site_is_an_error(spark, site_files, tmp_path):
     root, draw = f"{tmp_path}/phases", dict(fraction=0.1, seed=9)
     for p in (0, 2):
         jobs.run_count(spark, site_files, root, site=p, sites=3)
-    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+    with pytest.raises(IncompletePhase, match="no manifest"):
         jobs.run_merge(spark, root, sites=3)
     jobs.run_count(spark, site_files, root, site=1, sites=3)
     jobs.run_merge(spark, root, sites=3)
     for p in (0, 1):
         jobs.run_sample(spark, site_files, root, site=p, sites=3, **draw)
-    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+    with pytest.raises(IncompletePhase, match="no manifest"):
         jobs.run_join(spark, root, f"{tmp_path}/out", sites=3, **draw)

@@ -11,44 +11,100 @@ from .conftest import DATA
 ON = [("o_custkey", "user_id")]
 
 
-def plan_of(spark, method="zip", columns=None):
+@pytest.fixture
+def plans(monkeypatch):
+    """Plans of the tables that a call stores, by name, as they ran."""
+    from weftsample.plans import sampling
+    from weftsample.sources.sites import stored
+
+    seen = {}
+
+    def watched(df, name):
+        df.collect()
+        seen[name] = executed(df)
+        return stored(df, name)
+
+    monkeypatch.setattr(sampling, "stored", watched)
+    return seen
+
+
+def executed(df):
+    final, *initial = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")
+    return final, "".join(initial)
+
+
+def sampled(spark, method="zip", columns=None, **options):
     orders = spark.read.parquet(f"{DATA}/orders.parquet")
     events = spark.read.parquet(f"{DATA}/events.parquet")
     pairs = ws.join_sample(
-        orders, events, ON, 0.05, left_id="o_orderkey", right_id="event_id", method=method
-    )
+        orders, events, ON, 0.05, left_id="o_orderkey", right_id="event_id", method=method,
+        **options,
+    )
     pairs = pairs.select(*columns) if columns else pairs
     pairs.collect()
-    final, initial = pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")
-    return final, initial
+    return pairs
 
 
-@pytest.mark.parametrize("method", ["zip", "indexed"])
-def test_each_table_is_read_once_for_counts_and_once_for_rows(spark, method):
-    final, _ = plan_of(spark, method)
-    assert len(re.findall("FileScan", final)) == 4
-    assert "ReadSchema: struct<o_custkey:bigint>" in final
-    assert "ReadSchema: struct<user_id:bigint>" in final
+def scans(plan, table):
+    return len(re.findall(rf"FileScan parquet [^\n]*/{table}\.parquet", plan))
 
 
-def test_columns_that_are_not_asked_for_are_not_read(spark):
-    final, _ = plan_of(spark, columns=["o_custkey", "o_orderkey", "event_type"])
-    schemas = re.findall(r"ReadSchema: struct<(.*?)>", final)
-    read = {field.split(":")[0] for schema in schemas for field in schema.split(",")}
-    assert read == {"o_custkey", "o_orderkey", "user_id", "event_id", "event_type"}
+def test_each_table_is_read_once_for_counts_and_once_for_rows(spark, plans):
+    final, _ = executed(sampled(spark))
+    assert set(plans) == {"counts", "sample-left", "sample-right"}
+    counts = plans["counts"][0]
+    assert "ReadSchema: struct<o_custkey:bigint>" in counts
+    assert "ReadSchema: struct<user_id:bigint>" in counts
+    whole = "".join([final, *(p for p, _ in plans.values())])
+    assert scans(whole, "orders") == 2 and scans(whole, "events") == 2
+    assert not scans(final, "orders")
+
+
+def test_indexed_reads_each_table_once_for_counts_and_once_for_rows(spark, plans):
+    final, _ = executed(sampled(spark, "indexed"))
+    whole = "".join([final, *(p for p, _ in plans.values())])
+    assert scans(whole, "orders") == 2 and scans(whole, "events") == 2
+
+
+def test_indexed_reads_no_columns_that_are_not_asked_for(spark):
+    final, _ = executed(sampled(spark, "indexed", ["o_custkey", "o_orderkey", "event_type"]))
+    read = " ".join(re.findall(r"ReadSchema: struct<(.*?)>", final))
+    assert "event_type" in read and "props" not in read and "o_totalprice" not in read
 
 
 @pytest.mark.parametrize("method", ["zip", "indexed"])
-def test_no_nested_loops(spark, method):
-    final, initial = plan_of(spark, method)
-    for plan in (final, initial):
+def test_no_nested_loops(spark, plans, method):
+    final = executed(sampled(spark, method))
+    for plan in (*final, *(p for pair in plans.values() for p in pair)):
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
-    # With no large key there is nothing to count: that branch is gone.
-    assert "_before" in initial and "sum(_size" not in final
+    assert "sum(_size" not in final[0]  # with no large key there is nothing to count
+
+
+def test_python_runs_once_per_side_and_after_the_filter(spark, plans):
+    final, _ = executed(sampled(spark))
+    assert "EvalPython" not in final
+    for side in ("left", "right"):
+        plan = plans[f"sample-{side}"][0]
+        assert len(re.findall("ArrowEvalPython", plan)) == 1
+        assert "EXP(" in plan.split("ArrowEvalPython")[1].split("FileScan")[0]
+
+
+def test_large_keys_cost_no_second_draw(spark, plans):
+    """Numbering in parts reads the stored sample; tables, Python and most shuffles stay."""
+    final, _ = executed(sampled(spark, slot_rows=20, part_rows=15))
+    assert "sum(_size" in final
+    steps = [final, *(p for p, _ in plans.values())]
+    assert sum(scans(p, "orders") + scans(p, "events") for p in steps) == 4
+    assert sum(len(re.findall("ArrowEvalPython", p)) for p in steps) == 2
+    assert sum(len(re.findall("Exchange hashpartitioning", p)) for p in steps) <= 16
+    assert len(re.findall("Exchange hashpartitioning", final)) <= 10
 
 
-def test_python_runs_once_per_side_and_after_the_filter(spark):
-    final, _ = plan_of(spark)
-    assert len(re.findall("ArrowEvalPython", final)) == 2
-    for below in final.split("ArrowEvalPython")[1:]:
-        assert "EXP(" in below.split("FileScan")[0]
+def test_rows_are_spread_only_where_one_stands_for_many_copies(spark):
+    """With 70,000 copies of a row the blocks are shuffled; all pairs are there."""
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "lid long, key string")
+    right = spark.createDataFrame([(1, "a"), (2, "b")], "rid long, key string")
+    pairs = ws.join_sample(left, right, "key", 70_000.0, seed=1, left_id="lid", right_id="rid")
+    found = {r.key: r["count"] for r in pairs.groupBy("key").count().collect()}
+    assert set(found) == {"a", "b"} and all(68_000 < n < 72_000 for n in found.values())
+    assert "_block" in executed(pairs)[0]

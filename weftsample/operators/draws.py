@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import uniform, with_row_bits
+from ..functions.hashing import quoted, uniform, with_row_bits
 from ..functions.poisson import poisson_block, poisson_number
 from .keys import check_fraction
 
@@ -47,7 +47,7 @@ def poisson_draws(
     drawing = weighted.filter(draws_some(fraction, "weight"))
     mean = F.expr(_mean(fraction, "weight"))
     drawn = drawing.withColumn("copies", poisson_number(F.expr(uniform("_bits")), mean))
-    values = [c for c in drawn.columns if c not in ("_rows", "_bits")]
+    values = [quoted(c) for c in drawn.columns if c not in ("_rows", "_bits")]
     return drawn.select(*values, "_bits")
 
 
@@ -67,7 +67,7 @@ def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None)
     blocks = sample.withColumn("_block", block)
     if spread_by is not None:
         partitions = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = blocks.repartition(partitions, *spread_by, "_block")
+        blocks = blocks.repartition(partitions, *map(quoted, spread_by), "_block")
     copy = F.expr(
         f"explode(sequence(_block * {COPY_BLOCK} + 1,"
         f" least(copies, (_block + 1) * {COPY_BLOCK})))"

@@ -84,9 +84,9 @@ def join_keys(
     """Equi-join that keeps one copy of the keys; NULL meets NULL if asked."""
     if not null_safe:
         return left.join(right, list(keys), how)
-    theirs = {k: f"_right_{k}" for k in keys}
+    theirs = {k: f"_right_{i}" for i, k in enumerate(keys)}
     right = right.withColumnsRenamed(theirs)
-    same = [F.col(k).eqNullSafe(F.col(t)) for k, t in theirs.items()]
+    same = [F.col(quoted(k)).eqNullSafe(F.col(t)) for k, t in theirs.items()]
     return left.join(right, functools.reduce(operator.and_, same), how).drop(*theirs.values())
 
 

@@ -88,7 +88,7 @@ def attach_large_weights(
     """
     own, other = SIDES[side]
     rows = cast_keys(rows, counts, keys)
-    large = counts.filter(is_large).select(*keys, "n_left", "n_right")
+    large = counts.filter(is_large).select(*map(quoted, keys), "n_left", "n_right")
     buckets = large.select(key_bucket(large, keys).alias("_bucket")).distinct()
     near = rows.withColumn("_bucket", key_bucket(rows, keys))
     near = near.join(F.broadcast(buckets), "_bucket", "left_semi").drop("_bucket")

@@ -12,8 +12,10 @@ join      once               sampled rows of all sites -> sampled join
 Phase results live under one root, told apart by ``table=``, ``sites=`` (how many
 there are), ``site=`` and, where they depend on it, ``fraction=``, ``seed=`` and
 ``null_safe=`` directories.  The coordinator reads the results of exactly the
-sites 0 to ``sites`` - 1 and fails if one has not reported.  Every job returns the
-rows and bytes it wrote, and appends them to ``metrics`` if that path is given.
+sites 0 to ``sites`` - 1.  Each result ends with a manifest (see
+``plans.manifests``); one that has none, or whose rows are not those that were
+written, raises ``IncompletePhase`` before anything is written.  Every job returns
+the rows and bytes it wrote, and appends them to ``metrics`` if that path is given.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from ..operators.frequencies import merge_key_frequencies, shared_key_counts, si
 from ..operators.keys import digest_rows, identify_rows
 from ..operators.pairing import pair_on_slot
 from ..sources.sites import TABLE_SCHEMA, read_sites, read_table, write_table
-from .report import observe_size
+from .manifests import observed, read_manifest, verify, write_manifest
 from .sampling import Settings, join_sample, site_samples, zip_slots
 
 TABLES = (0, 1)
@@ -116,8 +118,8 @@ def run_sample(
     """Phase 3, at one site: draw copies of its rows, weighted by the global counts."""
     how = Settings([key], fraction, seed, null_safe)
     left, right = (
-        _read(
-            spark, [_path(root, "global_counts", t, sites=sites)], fmt, _count_schema(schema, key)
+        _read_whole(
+            spark, _path(root, "global_counts", t, sites=sites), fmt, _count_schema(schema, key)
         )
         for t in TABLES
     )
@@ -165,10 +167,7 @@ def run_join(
         )
         # As in phase 3, a row is known by its values and its site.
         sample, ids = digest_rows(sample, [*schema.names, "site"])
-        large = sample.filter(how.is_large("own_count", "weight")).select(
-            key, *ids, "weight", "own_count", "copies"
-        )
-        slotted.append(zip_slots(sample, large, how, SIDE[t], ids))
+        slotted.append(zip_slots(sample, how, SIDE[t], ids))
     pairs = pair_on_slot(
         *slotted, [key], left_values=values, right_values=values, null_safe=null_safe
     )
@@ -192,17 +191,23 @@ def _read_sites(
 ) -> DataFrame:
     """One phase result of all sites as one scan; sites come back as a column.
 
-    A site without a result is an error, and results of other sites are not read.
+    A site without a complete result is an error, and results of other sites are
+    not read.
     """
     base = _path(root, phase, table, sites=sites, **levels)
+    paths = [f"{base}/site={p}" for p in range(sites)]
+    manifests = [read_manifest(spark, path) for path in paths]
     schema = StructType(list(schema.fields)).add("site", IntegerType())
-    return _read(spark, [f"{base}/site={p}" for p in range(sites)], fmt, schema, base)
+    rows = read_table(spark, paths, fmt, schema, escaped=True, base=base)
+    verify(rows, manifests, "site")
+    return rows
 
 
-def _read(
-    spark: SparkSession, paths: list[str], fmt: str, schema: StructType, base: str | None = None
-) -> DataFrame:
-    return read_table(spark, paths, fmt, schema, escaped=True, base=base)
+def _read_whole(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
+    manifest = read_manifest(spark, path)
+    rows = read_table(spark, path, fmt, schema, escaped=True)
+    verify(rows, [manifest])
+    return rows
 
 
 def _count_schema(schema: StructType, key: str) -> StructType:
@@ -217,9 +222,11 @@ def _save(
 ) -> Metrics:
     written: Metrics = []
     for phase, table, site, df, path in outputs:
-        counted, seen = observe_size(df, f"{phase}-{table}-{site}")
+        counted, seen = observed(df, f"{phase}-{table}-{site}")
         write_table(counted, path, fmt, escaped=phase != "join")
-        written.append({"phase": phase, "table": table, "site": site, "path": path, **seen.get})
+        write_manifest(df, path, seen.get)
+        size = {k: seen.get[k] for k in ("n_rows", "n_bytes")}
+        written.append({"phase": phase, "table": table, "site": site, "path": path, **size})
     if metrics is not None:
         fields = "phase string, table int, site int, path string, n_rows long, n_bytes long"
         lines = [tuple(w.values()) for w in written]

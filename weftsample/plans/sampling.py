@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import mix52, uniform, with_row_bits
-from ..operators.draws import expand_copies, expected_pairs, may_draw, poisson_draws
+from ..functions.hashing import mix52, quoted, uniform, with_row_bits
+from ..operators.draws import COPY_BLOCK, expand_copies, expected_pairs, may_draw, poisson_draws
 from ..operators.frequencies import shared_key_counts, site_key_frequencies
 from ..operators.keys import (
     JoinKeys,
@@ -18,9 +18,10 @@ from ..operators.keys import (
     check_fraction,
     identify_rows,
 )
-from ..operators.pairing import SLOT_ROWS, number_within_key, pair_on_slot
+from ..operators.pairing import SLOT_ROWS, number_within_key, pair_on_slot, value_names
 from ..operators.unions import union_sites
 from ..operators.weights import PART_ROWS, attach_large_weights, attach_weights, exceeds
+from ..sources.sites import stored
 
 METHODS = ("zip", "indexed")
 Ids = str | Sequence[str] | None
@@ -77,6 +78,10 @@ def join_sample(
     ``left_id`` and ``right_id`` name columns that tell the rows apart.  Without
     them whole rows are used.  The result depends on the rows, the fraction and
     the seed, and on nothing else.
+
+    Key counts and, for ``zip``, the rows that were drawn are written to the
+    shared scratch folder when this is called, and read back: they are needed
+    more than once, and no draw is repeated.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}, not {method!r}")
@@ -84,9 +89,12 @@ def join_sample(
     check_columns(right, "right")
     left, right, right_id, keys = align_keys(left, right, on, right_id)
     how = Settings(keys, fraction, seed, null_safe, slot_rows, part_rows)
-    counts = shared_key_counts(left, right, keys, null_safe=null_safe)
+    left_values = [c for c in left.columns if c not in keys]
+    right_values = [c for c in right.columns if c not in keys]
+    value_names(keys, left_values, right_values, suffixes)
     left_rows, left_ids = identify_rows(left, left_id)
     right_rows, right_ids = identify_rows(right, right_id)
+    counts = stored(shared_key_counts(left, right, keys, null_safe=null_safe), "counts")
     if method == "zip":
         mine = _zip_slots(left_rows, counts, how, "left", left_ids)
         theirs = _zip_slots(right_rows, counts, how, "right", right_ids)
@@ -94,14 +102,9 @@ def join_sample(
         mine = _picks(left_rows, counts, how, left_ids)
         theirs = _index(right_rows, counts, how, right_ids)
     return pair_on_slot(
-        mine,
-        theirs,
-        keys,
-        left_values=[c for c in left.columns if c not in keys],
-        right_values=[c for c in right.columns if c not in keys],
-        suffixes=suffixes,
-        null_safe=null_safe,
-    )
+        mine, theirs, keys, left_values=left_values, right_values=right_values,
+        suffixes=suffixes, null_safe=null_safe,
+    )
 
 
 def federated_join_sample(
@@ -122,7 +125,7 @@ def federated_join_sample(
     """``join_sample`` for rows that live at several sites.
 
     Each input is one DataFrame with a ``site`` column, or one DataFrame per
-    site.  This is one Spark job over the rows of all sites: its weight join moves
+    site.  This is one application over the rows of all sites: its weight join moves
     each row that may draw a copy.  Where only key counts and sampled rows may
     leave a site, use the four phases of ``plans.jobs``.
     With the same ids and seed the rows equal those of ``join_sample`` over all
@@ -136,6 +139,11 @@ def federated_join_sample(
     check_columns(right, "right")
     left, right, right_id, keys = align_keys(left, right, on, right_id)
     how = Settings(keys, fraction, seed, null_safe, slot_rows, part_rows)
+    left_values = [c for c in left.columns if c not in [*keys, site]]
+    right_values = [c for c in right.columns if c not in [*keys, site]]
+    value_names(keys, left_values, right_values, suffixes)
+    left_rows, left_ids = identify_rows(left, left_id)
+    right_rows, right_ids = identify_rows(right, right_id)
     counts = shared_key_counts(
         site_key_frequencies(left, keys, site=site),
         site_key_frequencies(right, keys, site=site),
@@ -143,17 +151,13 @@ def federated_join_sample(
         name="count",
         null_safe=null_safe,
     )
-    left_rows, left_ids = identify_rows(left, left_id)
-    right_rows, right_ids = identify_rows(right, right_id)
+    counts = stored(counts, "counts")
     return pair_on_slot(
         _zip_slots(left_rows, counts, how, "left", left_ids),
         _zip_slots(right_rows, counts, how, "right", right_ids),
-        keys,
-        left_values=[c for c in left.columns if c not in [*keys, site]],
-        right_values=[c for c in right.columns if c not in [*keys, site]],
-        suffixes=suffixes,
+        keys, left_values=left_values, right_values=right_values, suffixes=suffixes,
         null_safe=null_safe,
-    )
+    )
 
 
 def site_samples(
@@ -178,19 +182,30 @@ def site_samples(
     return poisson_draws(weighted, how.fraction, ids=ids, side=side, seed=how.seed)
 
 
-def zip_slots(
-    sample: DataFrame, large: DataFrame, how: Settings, side: str, ids: Sequence[str]
-) -> DataFrame:
+def zip_slots(sample: DataFrame, how: Settings, side: str, ids: Sequence[str]) -> DataFrame:
     """Copies of a sample, numbered in random order within their key.
 
-    ``large`` is the same sample for the large keys, with narrow rows.
+    The sample is read up to three times, so it should be a stored one.  Its
+    largest number of copies, and whether it has large keys at all, are looked
+    up first: most samples need neither the shuffle that spreads one row's copies
+    nor the sizes of a key's parts.
     """
-    def copies(rows: DataFrame) -> DataFrame:
-        return expand_copies(with_row_bits(rows, ids, side, how.seed), spread_by=ids)
+    is_large = how.is_large("own_count", "weight")
+    facts = sample.agg(F.max("copies"), F.max(F.expr(is_large))).first()
+    spread = ids if (facts[0] or 0) > COPY_BLOCK else None
 
+    def copies(rows: DataFrame) -> DataFrame:
+        return expand_copies(with_row_bits(rows, ids, side, how.seed), spread_by=spread)
+
+    large = None
+    if facts[1]:
+        narrow = dict.fromkeys([*how.keys, *ids, "own_count", "weight", "copies"])
+        if "_bits" in sample.columns:
+            narrow["_bits"] = None
+        large = copies(sample.filter(is_large).select(*map(quoted, narrow)))
     return number_within_key(
         copies(sample),
-        copies(large),
+        large,
         how.keys,
         ids,
         purpose=f"{side}-slot",
@@ -204,20 +219,9 @@ def zip_slots(
 def _zip_slots(
     rows: DataFrame, counts: DataFrame, how: Settings, side: str, ids: Sequence[str]
 ) -> DataFrame:
-    # The draw for large keys is repeated rather than stored: it is the same
-    # function of the rows, and it reads no more than key and ids.  All keys that
-    # are numbered in several parts must be among them; more do no harm.
-    sample = site_samples(rows, counts, how, side, ids)
-    large = attach_large_weights(
-        _narrow(rows, how.keys, ids),
-        counts,
-        how.keys,
-        side,
-        is_large=how.is_large(),
-        null_safe=how.null_safe,
-    )
-    large = poisson_draws(large, how.fraction, ids=ids, side=side, seed=how.seed)
-    return zip_slots(sample, large, how, side, ids)
+    """Draw once, store what was drawn, number it."""
+    sample = stored(site_samples(rows, counts, how, side, ids), f"sample-{side}")
+    return zip_slots(sample, how, side, ids)
 
 
 def _picks(left: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str]) -> DataFrame:
@@ -274,4 +278,4 @@ def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str
 
 
 def _narrow(rows: DataFrame, keys: Sequence[str], ids: Sequence[str]) -> DataFrame:
-    return rows.select(*dict.fromkeys([*keys, *ids, "_rows"]))
+    return rows.select(*map(quoted, dict.fromkeys([*keys, *ids, "_rows"])))

@@ -12,7 +12,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import (
+    AnsiIntervalType,
+    ArrayType,
+    CalendarIntervalType,
+    DataType,
+    MapType,
+    NullType,
+    StringType,
+    StructField,
+    StructType,
+    VariantType,
+)
 
 from ..functions.hashing import quoted
 
@@ -193,6 +204,29 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to a scratch folder and read it back.
+
+    What is read more than once is computed once so, and a lost executor costs
+    one step.  Types that Parquet lacks (void, intervals) leave the table as it is.
+    """
+    if not all(_storable(f.dataType) for f in df.schema.fields):
+        return df
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _storable(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return len(kind) > 0 and all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, (NullType, AnsiIntervalType, CalendarIntervalType, VariantType))
+
+
 def _check(fmt: str) -> None:
     if fmt not in FORMATS:
         raise ValueError(f"format must be one of {FORMATS}, not {fmt!r}")
