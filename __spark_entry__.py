@@ -67,6 +67,9 @@ def own_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "join_sample_hot_key_split": functools.partial(_join_sample_hot_key, **SPLIT),
         "join_sample_indexed": functools.partial(_join_sample, method="indexed"),
         "join_sample_indexed_split": functools.partial(_join_sample, method="indexed", **SPLIT),
+        "join_sample_chain": _join_sample_chain,
+        "join_sample_chain_split": functools.partial(_join_sample_chain, **SPLIT),
+        "join_sample_star": _join_sample_star,
         "site_scan": _site_scan,
         "site_scan_events": functools.partial(_site_scan, table="events", id_="event_id"),
         "site_key_frequencies": _site_key_frequencies,
@@ -213,6 +216,40 @@ def _join_sample_hot_key(spark: SparkSession, sf_dir: str, **options) -> DataFra
     )
 
 
+def _around_customer(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[ws.Branch]]:
+    """customer, and suppliers of its nation, its orders and its events."""
+    tables = [*oracle.CHAIN, ("events", "event_id", "user_id", "c_custkey")]
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), [
+        ws.Branch(_table(spark, sf_dir, name).select(id_, key), [(own, key)], id_)
+        for name, id_, key, own in tables
+    ]
+
+
+def _join_sample_chain(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """suppliers - customers of the same nation - their orders."""
+    customer, (supplier, orders, _) = _around_customer(spark, sf_dir)
+    return ws.join_sample_chain(
+        supplier.rows,
+        customer,
+        orders.rows,
+        supplier.on,
+        orders.on,
+        FRACTION,
+        seed=SEED,
+        left_id=supplier.id,
+        middle_id="c_custkey",
+        right_id=orders.id,
+        **options,
+    )
+
+
+def _join_sample_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, branches = _around_customer(spark, sf_dir)
+    return ws.join_sample_star(
+        customer, branches, oracle.HOT_FRACTION, seed=SEED, middle_id="c_custkey"
+    )
+
+
 def _site_files(spark: SparkSession, sf_dir: str, table: str = "orders", id_: str = "o_orderkey"):
     """A whole table, written as one CSV path per site; returns prefix and schema."""
     rows = _table(spark, sf_dir, table)

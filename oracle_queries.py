@@ -21,6 +21,12 @@ VALUE_SIZE = 8
 ZIPF = 2.0
 VALUES = ("value_one", "value_two", "value_three", "value_four", "value_five")
 
+#: Tables around customer: name, id, key, customer's key.
+CHAIN = [
+    ("supplier", "s_suppkey", "s_nationkey", "c_nationkey"),
+    ("orders", "o_orderkey", "o_custkey", "c_custkey"),
+]
+
 ORDERS = "SELECT o_orderkey AS id, o_custkey AS k FROM orders"
 EVENTS = "SELECT event_id AS id, user_id AS k FROM events"
 
@@ -68,7 +74,6 @@ def with_draws(left: str, right: str, fraction: float, text_ids: bool = False) -
 
     Column b holds the bits of a row and u the uniform number made of them.
     """
-    reach = "12e0 * sqrt(mean) + 20e0"
     return f"""
 WITH l AS ({left}), r AS ({right}),
 lc AS (SELECT k, count(*) AS n FROM l GROUP BY k),
@@ -77,19 +82,7 @@ bl AS (SELECT id, k, {row_bits("id", "left", text_ids)} AS b FROM l),
 br AS (SELECT id, k, {row_bits("id", "right", text_ids)} AS b FROM r),
 wl AS (SELECT id, bl.k, b, {uniform("b")} AS u, rc.n AS weight FROM bl JOIN rc ON bl.k = rc.k),
 wr AS (SELECT id, br.k, b, {uniform("b")} AS u, lc.n AS weight FROM br JOIN lc ON br.k = lc.k),
-means AS (SELECT weight, {double(fraction)} * weight AS mean
-          FROM (SELECT weight FROM wl UNION SELECT weight FROM wr)),
-grid AS (SELECT weight, mean, unnest(generate_series(
-             cast(greatest(0e0, floor(mean - ({reach}))) AS bigint),
-             cast(ceil(mean + {reach}) AS bigint))) AS n FROM means),
-mass AS (SELECT weight, n, exp(n * ln(mean) - mean - lgamma(n + 1e0)) AS p FROM grid),
-raised AS (SELECT weight, n,
-             sum(p) OVER (PARTITION BY weight ORDER BY n ROWS UNBOUNDED PRECEDING) AS hi,
-             sum(p) OVER (PARTITION BY weight) AS total,
-             n = max(n) OVER (PARTITION BY weight) AS is_last FROM mass),
-cdf AS (SELECT weight, n, CASE WHEN is_last THEN 1e0 ELSE hi / total END AS hi FROM raised),
-steps AS (SELECT weight, n, hi,
-            coalesce(lag(hi) OVER (PARTITION BY weight ORDER BY n), 0e0) AS lo FROM cdf),
+{steps_of("(SELECT weight FROM wl UNION SELECT weight FROM wr)", fraction)},
 dl AS (SELECT wl.id, wl.k, wl.b, wl.weight, s.n AS copies FROM wl JOIN steps s
        ON wl.weight = s.weight AND wl.u > s.lo AND wl.u <= s.hi WHERE s.n > 0),
 dr AS (SELECT wr.id, wr.k, wr.b, wr.weight, s.n AS copies FROM wr JOIN steps s
@@ -208,6 +201,51 @@ def phases() -> str:
     return f"{with_pairs(table(0), table(1), FRACTION, text_ids=True)} SELECT k AS key, {', '.join(columns)} FROM pairs"
 
 
+def steps_of(weights: str, fraction: float) -> str:
+    """CTE steps (weight, n, lo, hi): Poisson numbers by intervals of a uniform number."""
+    reach = "12e0 * sqrt(mean) + 20e0"
+    return f"""means AS (SELECT DISTINCT weight, {double(fraction)} * weight AS mean FROM {weights}),
+grid AS (SELECT weight, mean, unnest(generate_series(
+             cast(greatest(0e0, floor(mean - ({reach}))) AS bigint),
+             cast(ceil(mean + {reach}) AS bigint))) AS n FROM means),
+mass AS (SELECT weight, n, exp(n * ln(mean) - mean - lgamma(n + 1e0)) AS p FROM grid),
+raised AS (SELECT weight, n,
+             sum(p) OVER (PARTITION BY weight ORDER BY n ROWS UNBOUNDED PRECEDING) AS hi,
+             sum(p) OVER (PARTITION BY weight) AS total,
+             n = max(n) OVER (PARTITION BY weight) AS is_last FROM mass),
+cdf AS (SELECT weight, n, CASE WHEN is_last THEN 1e0 ELSE hi / total END AS hi FROM raised),
+steps AS (SELECT weight, n, hi,
+            coalesce(lag(hi) OVER (PARTITION BY weight ORDER BY n), 0e0) AS lo FROM cdf)"""
+
+
+def star(branches: list[tuple[str, str, str, str]], fraction: float) -> str:
+    """customer in the middle; branches are (table, id, key, customer's key)."""
+    ctes, joins, product, picks, meets, out = [], [], [], [], [], []
+    for n, (table, id_, key, own) in enumerate(branches):
+        order = mix("xor(b, 1)", f"index-{n}")
+        ctes.append(
+            f"n{n} AS (SELECT {key} AS k, count(*) AS w FROM {table} GROUP BY ALL),"
+            f"x{n} AS (SELECT t.*, row_number() OVER (PARTITION BY {key} ORDER BY {order}, {id_})"
+            f" AS slot FROM (SELECT *, {mix(id_, 'right')} AS b FROM {table}) t)"
+        )
+        joins.append(f"JOIN n{n} ON n{n}.k = m.{own}")
+        product.append(f"n{n}.w")
+        pick = f"floor({uniform(mix('xor(b, copy)', f'pick-{n}'))} * w{n})"
+        picks.append(f"cast({pick} AS bigint) + 1 AS s{n}")
+        meets.append(f"JOIN x{n} ON x{n}.{key} = p.{own} AND x{n}.slot = p.s{n}")
+        out.append(f"x{n}.{id_}")
+    weights = ", ".join(f"{w} AS w{n}" for n, w in enumerate(product))
+    return f"""WITH {", ".join(ctes)},
+m AS (SELECT c_custkey, c_nationkey, {mix("c_custkey", "middle")} AS b FROM customer),
+w AS (SELECT m.*, {uniform("b")} AS u, {weights}, {" * ".join(product)} AS weight FROM m {" ".join(joins)}),
+{steps_of("w", fraction)},
+d AS (SELECT w.*, s.n AS copies FROM w JOIN steps s
+      ON w.weight = s.weight AND w.u > s.lo AND w.u <= s.hi WHERE s.n > 0),
+c AS (SELECT *, unnest(generate_series(1, copies)) AS copy FROM d),
+p AS (SELECT *, {", ".join(picks)} FROM c)
+SELECT p.c_custkey, p.c_nationkey, {", ".join(out)} FROM p {" ".join(meets)}"""
+
+
 def index_pairs() -> str:
     pick = f"cast(floor({uniform(mix('xor(b, copy)', 'pick'))} * weight) AS bigint) + 1"
     order = mix("xor(b, 1)", "index")
@@ -305,6 +343,9 @@ def all_queries() -> dict[str, str]:
         "join_sample_hot_key_split": of_hot_key,
         "join_sample_indexed": orders_with_events(index_pairs()),
         "join_sample_indexed_split": orders_with_events(index_pairs()),
+        "join_sample_chain": star(CHAIN, FRACTION),
+        "join_sample_chain_split": star(CHAIN, FRACTION),
+        "join_sample_star": star([*CHAIN, ("events", "event_id", "user_id", "c_custkey")], HOT_FRACTION),
         "site_scan": order_sites,
         "site_scan_events": event_sites,
         "site_key_frequencies": per_site,

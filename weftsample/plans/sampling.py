@@ -100,7 +100,7 @@ def join_sample(
         theirs = _zip_slots(right_rows, counts, how, "right", right_ids)
     else:
         mine = _picks(left_rows, counts, how, left_ids)
-        theirs = _index(right_rows, counts, how, right_ids)
+        theirs = number_rows(right_rows, counts, how, right_ids)
     return pair_on_slot(
         mine, theirs, keys, left_values=left_values, right_values=right_values,
         suffixes=suffixes, null_safe=null_safe,
@@ -236,8 +236,10 @@ def _picks(left: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str]
     )
 
 
-def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str]) -> DataFrame:
-    """Right rows, numbered within their key."""
+def number_rows(
+    right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str], *, purpose: str = "index"
+) -> DataFrame:
+    """Right rows with a shared key, numbered within their key."""
 
     spread = ids if "_id" in ids else None  # folded rows may stand for many
 
@@ -269,7 +271,7 @@ def _index(right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str
         single_rows(large),
         how.keys,
         ids,
-        purpose="index",
+        purpose=purpose,
         seed=how.seed,
         expected="own_count",
         slot_rows=how.slot_rows,
