@@ -441,8 +441,8 @@ def _synth_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled join, written as headerless CSV and read back."""
-    pairs = _join_sample(spark, sf_dir)
+    """The sampled join of whole tables, written as headerless CSV and read back."""
+    pairs = _sampled(_table(spark, sf_dir, "orders"), _table(spark, sf_dir, "events"))
     folder = files.scratch_folder(spark, "csv")
     files.write_table(pairs, folder, "csv", escaped=True)
     return files.read_table(spark, folder, "csv", pairs.schema, escaped=True)

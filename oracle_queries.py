@@ -49,7 +49,8 @@ def mix(number: str, purpose: str, seed: int = SEED) -> str:
 
     x = f"xor({times_factors(f'xor({low}, {one})')}, xor({high}, {two}))"
     x = times_factors(f"xor({x}, {x} >> 16)")
-    rest = f"((xor({high}, {three}) * 569420461) & {word})"
+    rest = times_factors(f"xor({high}, {three})")
+    rest = f"((xor({rest}, {rest} >> 16) * 569420461) & {word})"
     return f"(({x} >> 6) * 67108864 + ({rest} >> 6))"
 
 
@@ -121,9 +122,9 @@ def both_sides(ctes: str, left: str, right: str, columns: str) -> str:
     )
 
 
-def letters(length: int, words: list[str]) -> str:
+def letters(length: int, words: list[str], start: int = 0) -> str:
     out = []
-    for i in range(length):
+    for i in range(start, start + length):
         digit = f"(({words[i // 6]} // {52 ** (i % 6)}) % 52)"
         out.append(f"substr('{string.ascii_letters}', cast({digit} AS int) + 1, 1)")
     return f"concat({', '.join(out)})"
@@ -132,14 +133,15 @@ def letters(length: int, words: list[str]) -> str:
 def with_keys(table: int) -> str:
     """CTEs idx (key_idx, n) and keyed (with key): one key per customer."""
     count = -(-KEY_SIZE // 6)
-    words = ", ".join(
-        f"CASE WHEN key_idx < floor(n * {double(OVERLAP)}) THEN {mix('key_idx', f'shared-key-{i}')}"
-        f" ELSE {mix('key_idx', f'table{table}-key-{i}')} END AS w{i}"
-        for i in range(count)
+    number = (
+        f"CASE WHEN key_idx < floor(n * {double(OVERLAP)}) THEN key_idx"
+        f" ELSE xor(key_idx, {(table + 1) * 2**48}) END"
     )
+    words = ", ".join(f"{mix('number', f'key-{i}')} AS w{i}" for i in range(count))
     key = letters(KEY_SIZE, [f"w{i}" for i in range(count)])
     return f"""WITH idx AS (SELECT c_custkey AS key_idx, count(*) OVER () AS n FROM customer),
-worded AS (SELECT key_idx, n, {words} FROM idx),
+pooled AS (SELECT key_idx, n, {number} AS number FROM idx),
+worded AS (SELECT key_idx, n, {words} FROM pooled),
 keyed AS (SELECT key_idx, n, {key} AS key FROM worded)"""
 
 
@@ -155,14 +157,12 @@ def synth(table: int, kind: str, sites: int = SITES) -> str:
     else:
         u = uniform(mix("place", f"rpk{table}"))
         counted = f"SELECT *, cast(floor({low} + {u} * {high - low}) AS bigint) AS rpk FROM placed"
-    per_value = range(-(-VALUE_SIZE // 6))
+    names = [f"w{i}" for i in range(-(-VALUE_SIZE * len(VALUES) // 6))]
     words = ", ".join(
-        f"{mix('xor(place, copy)', f'table{table}-{c}-{i}')} AS {c}{i}"
-        for c in VALUES
-        for i in per_value
+        f"{mix('xor(place, copy)', f'table{table}-record-{i}')} AS {w}" for i, w in enumerate(names)
     )
     values = ", ".join(
-        f"{letters(VALUE_SIZE, [f'{c}{i}' for i in per_value])} AS {c}" for c in VALUES
+        f"{letters(VALUE_SIZE, names, VALUE_SIZE * i)} AS {c}" for i, c in enumerate(VALUES)
     )
     # Devroye's rejection with 64 tries; the chance that all fail is below 1e-20.
     rest = ZIPF - 1.0
@@ -362,5 +362,6 @@ def all_queries() -> dict[str, str]:
         "synth_sliced": two("sliced"),
         "synth_zipf": two("zipf"),
         "synth_mixed": f"{synth(0, 'zipf')} UNION ALL {synth(1, 'uniform')}",
-        "csv_roundtrip": sampled,
+        "csv_roundtrip": f"""{pairs} SELECT o.*, e.* EXCLUDE (user_id) FROM pairs
+            JOIN orders o ON o.o_orderkey = pairs.lid JOIN events e ON e.event_id = pairs.rid""",
     }

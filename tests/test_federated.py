@@ -86,6 +86,11 @@ def test_phases_over_files_equal_the_centralized_job(spark, site_files, tmp_path
     assert len(phased) > 100
     assert joined[0]["n_rows"] == central[0]["n_rows"] == len(phased)
     assert [m["n_rows"] for m in merged] == [60, 60]
+    first = spark.read.json(metrics).filter("phase = 'count'").agg(
+        F.sum("n_lines"), F.sum("n_malformed")
+    ).first()
+    both = [files.read_sites(spark, site_files, t, 3).count() for t in (0, 1)]
+    assert tuple(first) == (sum(both), 0)
     # The metrics of all jobs: 3 x 2 counts, 2 merges, 3 x 2 samples, 2 joins.
     assert spark.read.json(metrics).count() == 16
 

@@ -147,3 +147,65 @@ def test_escaped_files_keep_every_value(spark, tmp_path):
     schema = rows.drop("site").schema
     back = files.read_sites(spark, prefix, 0, 2, schema=schema, escaped=True)
     assert sorted(back.select(*rows.columns).collect(), key=lambda r: r.id) == rows.orderBy("id").collect()
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "timestamp_ntz", "double"])
+def test_single_columns_of_nulls_keep_their_rows(spark, tmp_path, kind):
+    rows = spark.range(8).selectExpr(f"cast(if(id % 2 = 0, NULL, id) as string) as v").selectExpr(
+        f"cast(if(v = '3' and '{kind}' = 'string', '', if('{kind}' = 'timestamp_ntz', '2024-01-0' || v, v)) as {kind}) as v"
+    )
+    files.write_table(rows, f"{tmp_path}/t", "csv", escaped=True)
+    back = files.read_table(spark, f"{tmp_path}/t", "csv", rows.schema, escaped=True)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    with pytest.raises(Exception, match="plain CSV"):
+        files.write_table(rows, f"{tmp_path}/plain", "csv")
+
+
+def test_marks_are_told_from_texts(spark, tmp_path):
+    rows = spark.createDataFrame([(t,) for t in ("%N", "%E", "", None, "%25N", "a, NULL", "b")], "v string")
+    files.write_table(rows, f"{tmp_path}/t", "csv", escaped=True)
+    back = files.read_table(spark, f"{tmp_path}/t", "csv", rows.schema, escaped=True)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+    prefix = files.write_sites(rows.withColumn("site", F.lit(0)), f"{tmp_path}/s", "t", 0, 1, escaped=True)
+    back = files.read_sites(spark, prefix, 0, 1, schema=rows.schema, escaped=True).select("v")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, rows.collect()))
+
+
+@pytest.mark.parametrize("text", ["", "a\nb", "a\rb"])
+def test_plain_files_refuse_what_they_would_lose(spark, tmp_path, text):
+    rows = spark.createDataFrame([("k", text), ("k", "fine")], "k string, `v.w` string")
+    with pytest.raises(Exception, match="plain CSV cannot hold"):
+        files.write_table(rows, f"{tmp_path}/t", "csv")
+    with pytest.raises(Exception, match="plain CSV cannot hold"):
+        files.write_sites(rows.withColumn("site", F.lit(0)), f"{tmp_path}/s", "t", 0, 1)
+
+
+def test_plain_files_keep_all_other_texts(spark, tmp_path):
+    signs = ["a", ",", '"', "\\", " ", "'", "é", "%", "#"]
+    texts = [a + b + c for a in signs for b in ["", *signs] for c in ["", *signs]]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "id long, t string")
+    files.write_table(rows, f"{tmp_path}/t", "csv")
+    back = files.read_table(spark, f"{tmp_path}/t", "csv", rows.schema)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, rows.collect()), key=repr)
+
+
+def test_malformed_lines_are_counted(spark, tmp_path):
+    (tmp_path / "x_t_0_p_0_of_2.csv").write_text("1,a\n2\nthree,c\n4,d,more\n5,e\n")
+    (tmp_path / "x_t_0_p_1_of_2.csv").write_text("6,f\n")
+    schema = spark.createDataFrame([], "n long, t string").schema
+    rows, seen = files.read_sites_counted(spark, f"{tmp_path}/x", 0, 2, schema=schema)
+    assert rows.columns == ["n", "t", "site"]
+    assert sorted(r.n or 0 for r in rows.collect()) == [0, 1, 2, 4, 5, 6]
+    assert seen.get == {"n_lines": 6, "n_malformed": 3, "n_nulls": 2}
+    # Also where a query asks for one column only.
+    rows, seen = files.read_sites_counted(spark, f"{tmp_path}/x", 0, 2, schema=schema)
+    rows.groupBy("t").count().collect()
+    assert seen.get == {"n_lines": 6, "n_malformed": 3, "n_nulls": 2}
+    lines = files.malformed_lines(spark, f"{tmp_path}/x", 0, 2, schema=schema).collect()
+    assert sorted((r.site, r.line, tuple(r.fields)) for r in lines) == [
+        (0, "2", (2, None)), (0, "4,d,more", (4, "d")), (0, "three,c", (None, "c"))
+    ]
+    few = files.malformed_lines(spark, f"{tmp_path}/x", 0, 2, schema=schema).select("line")
+    assert len(few.collect()) == 3
+    rows, seen = files.read_sites_counted(spark, f"{tmp_path}/x", 0, 2, schema=schema, only=1)
+    assert rows.count() == 1 and seen.get["n_malformed"] == 0

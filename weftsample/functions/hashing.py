@@ -29,6 +29,7 @@ FACTORS = (0x21F0AAAD, 0x735A2D97)  # of a public 32-bit mixer; below 2**31, so
 HASH_DIGITS = 13  # hex digits that make 52 bits
 LETTERS = string.ascii_letters  # alphabet of generated keys and values
 LETTERS_PER_HASH = 6  # 52**6 << 2**52, so the letters are even to 5e-6
+PAIRS = [a + b for b in LETTERS for a in LETTERS]  # two letters by their number
 KEY_BUCKETS = 262_144  # a power of two; most rows of the guide in operators.weights
 
 
@@ -45,8 +46,8 @@ def salts(purpose: str, seed: int) -> tuple[int, int, int]:
 def mix52(number: str, purpose: str, seed: int) -> str:
     """52 well-mixed bits of a BIGINT; both are SQL texts.
 
-    Both words of the number enter both rounds of the upper half of the result;
-    its lower half only fills in the last places.
+    Each half of the result goes through two rounds of its own, and both words of
+    the number enter both: ids in steps give even and unrelated halves.
     """
     one, two, three = salts(purpose, seed)
     low = f"(({number} ^ shiftright({number}, 29)) & {WORD}L)"
@@ -54,7 +55,8 @@ def mix52(number: str, purpose: str, seed: int) -> str:
     x = _times_factors(f"({low} ^ {one}L)")
     x = f"({x} ^ {high} ^ {two}L)"
     x = _times_factors(f"({x} ^ shiftright({x}, 16))")
-    rest = f"((({high} ^ {three}L) * {FACTORS[0]}L) & {WORD}L)"
+    rest = _times_factors(f"({high} ^ {three}L)")
+    rest = f"((({rest} ^ shiftright({rest}, 16)) * {FACTORS[0]}L) & {WORD}L)"
     shift = 32 - HALF_BITS
     return f"(shiftright({x}, {shift}) * {2**HALF_BITS}L + shiftright({rest}, {shift}))"
 
@@ -71,7 +73,8 @@ def mix52_array(numbers: np.ndarray, purpose: str, seed: int) -> np.ndarray:
     high = ((numbers >> 31) & WORD) ^ (((numbers & WORD) * FACTORS[1]) & WORD)
     x = times_factors(low ^ one) ^ high ^ two
     x = times_factors(x ^ (x >> 16))
-    rest = ((high ^ three) * FACTORS[0]) & WORD
+    rest = times_factors(high ^ three)
+    rest = ((rest ^ (rest >> 16)) * FACTORS[0]) & WORD
     shift = 32 - HALF_BITS
     return (x >> shift) * 2**HALF_BITS + (rest >> shift)
 
@@ -128,12 +131,23 @@ def digest_bits(digest: str, part: int) -> str:
     return f"coalesce(cast(conv({digits}, 16, 10) as bigint), 0L)"
 
 
-def letters_from(words: Sequence[str], length: int) -> str:
-    """SQL text for ``length`` letters a-zA-Z, six from each of the 52-bit columns."""
-    letters = []
-    for i in range(length):
-        digit = f"({words[i // LETTERS_PER_HASH]} div {52 ** (i % LETTERS_PER_HASH)}L) % 52L"
-        letters.append(f"substring('{LETTERS}', cast({digit} as int) + 1, 1)")
+def letters_from(words: Sequence[str], length: int, start: int = 0) -> str:
+    """SQL text for ``length`` letters a-zA-Z of the 52-bit columns, six from each.
+
+    ``start`` letters are passed over, so that several texts can share the columns.
+
+    Two letters at a time are an element of a constant array, which is found
+    without a walk over a text; the array is folded when the query is planned.
+    """
+    letters, at, end = [], start, start + length
+    while at < end:
+        word, place = divmod(at, LETTERS_PER_HASH)
+        two = at + 1 < end and place + 1 < LETTERS_PER_HASH
+        own = PAIRS if two else list(LETTERS)
+        number = f"({words[word]} div {len(LETTERS) ** place}L)" if place else words[word]
+        digit = f"cast({number} % {len(own)}L as int)"
+        letters.append(f"get(split('{','.join(own)}', ','), {digit})")
+        at += 1 + two
     return f"concat({', '.join(letters)})" if letters else "''"
 
 

@@ -28,7 +28,13 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 from ..operators.frequencies import merge_key_frequencies, shared_key_counts, site_key_frequencies
 from ..operators.keys import digest_rows, identify_rows
 from ..operators.pairing import pair_on_slot
-from ..sources.sites import TABLE_SCHEMA, read_sites, read_table, write_table
+from ..sources.sites import (
+    TABLE_SCHEMA,
+    read_sites,
+    read_sites_counted,
+    read_table,
+    write_table,
+)
 from .manifests import observed, read_manifest, verify, write_manifest
 from .sampling import Settings, join_sample, site_samples, zip_slots
 
@@ -72,12 +78,17 @@ def run_count(
     fmt: str = "parquet",
     metrics: str | None = None,
 ) -> Metrics:
-    """Phase 1, at one site: how often each key occurs in its tables."""
+    """Phase 1, at one site: how often each key occurs in its tables.
+
+    The first pass over the files also counts their lines, and those among them
+    that do not fit the schema: ``n_lines`` and ``n_malformed``.
+    """
     outputs = []
     for t in TABLES:
-        rows = read_sites(spark, prefix, t, sites, schema=schema, only=site)
+        rows, lines = read_sites_counted(spark, prefix, t, sites, schema=schema, only=site)
         counts = site_key_frequencies(rows, key).drop("site")
-        outputs.append(("count", t, site, counts, _path(root, "site_counts", t, sites=sites, site=site)))
+        path = _path(root, "site_counts", t, sites=sites, site=site)
+        outputs.append(("count", t, site, counts, path, lines))
     return _save(spark, outputs, fmt, metrics)
 
 
@@ -216,19 +227,24 @@ def _count_schema(schema: StructType, key: str) -> StructType:
 
 def _save(
     spark: SparkSession,
-    outputs: Sequence[tuple[str, int | None, int | None, DataFrame, str]],
+    outputs: Sequence[tuple],
     fmt: str,
     metrics: str | None,
 ) -> Metrics:
+    """Write ``(phase, table, site, rows, path)``, with an observation of their input or none."""
     written: Metrics = []
-    for phase, table, site, df, path in outputs:
+    for phase, table, site, df, path, *lines in outputs:
         counted, seen = observed(df, f"{phase}-{table}-{site}")
         write_table(counted, path, fmt, escaped=phase != "join")
         write_manifest(df, path, seen.get)
         size = {k: seen.get[k] for k in ("n_rows", "n_bytes")}
+        size |= {k: lines[0].get[k] if lines else None for k in ("n_lines", "n_malformed")}
         written.append({"phase": phase, "table": table, "site": site, "path": path, **size})
     if metrics is not None:
-        fields = "phase string, table int, site int, path string, n_rows long, n_bytes long"
+        fields = (
+            "phase string, table int, site int, path string, n_rows long, n_bytes long, "
+            "n_lines long, n_malformed long"
+        )
         lines = [tuple(w.values()) for w in written]
         spark.createDataFrame(lines, fields).coalesce(1).write.mode("append").json(metrics)
     return written

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
     AnsiIntervalType,
@@ -64,14 +64,72 @@ def read_sites(
 
     All sites are one scan over a list of paths.  ``only`` reads some sites'
     paths and leaves the others untouched.  ``escaped`` says that the files were
-    written so.
+    written so.  Lines that do not fit the schema are read as far as they do, with
+    NULL for the rest; ``read_sites_counted`` tells how many there are.
     """
+    rows = _site_lines(spark, prefix, table, sites, schema, only, escaped, {})
+    return _unescape(rows) if escaped else rows
+
+
+def read_sites_counted(
+    spark: SparkSession,
+    prefix: str,
+    table: int,
+    sites: int,
+    *,
+    schema: StructType = TABLE_SCHEMA,
+    only: int | Sequence[int] | None = None,
+    escaped: bool = False,
+) -> tuple[DataFrame, Observation]:
+    """``read_sites``, and an observation with ``n_lines``, ``n_malformed``, ``n_nulls``.
+
+    A line is malformed if it has too few or too many fields, or a field that is
+    not of its type.  To know that, every column is parsed, whatever the query
+    needs.  Read the observation after an action that ran over the rows.
+    """
+    rows = _malformed_apart(spark, prefix, table, sites, schema, only, escaped)
+    seen = Observation(f"lines-{uuid.uuid4().hex}")
+    nulls = " + ".join(f"int({quoted(c)} IS NULL)" for c in schema.names)
+    counted = rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("n_lines"),
+        F.count(MALFORMED).alias("n_malformed"),
+        F.coalesce(F.sum(F.expr(nulls)), F.lit(0)).alias("n_nulls"),
+    ).drop(MALFORMED)
+    return (_unescape(counted) if escaped else counted), seen
+
+
+def malformed_lines(
+    spark: SparkSession,
+    prefix: str,
+    table: int,
+    sites: int,
+    *,
+    schema: StructType = TABLE_SCHEMA,
+    only: int | Sequence[int] | None = None,
+) -> DataFrame:
+    """``site``, ``line``, ``fields``: the lines that do not fit the schema, as they stand in
+    the files, and what is read of them."""
+    rows = _malformed_apart(spark, prefix, table, sites, schema, only, False)
+    # Only columns that are asked for are parsed, and a line may fail in any of them.
+    fields = F.struct(*map(quoted, schema.names))
+    kept = F.when(F.col(MALFORMED).isNotNull(), F.struct(F.col(MALFORMED), fields.alias("fields")))
+    lines = rows.select("site", F.explode(F.array(kept)).alias("kept")).filter("kept IS NOT NULL")
+    return lines.select("site", F.col(f"kept.{MALFORMED}").alias("line"), "kept.fields")
+
+
+def _malformed_apart(spark, prefix, table, sites, schema, only, escaped) -> DataFrame:
+    wide = StructType(list(schema.fields)).add(MALFORMED, StringType())
+    whole = dict(columnNameOfCorruptRecord=MALFORMED, columnPruning=False)
+    return _site_lines(spark, prefix, table, sites, wide, only, escaped, whole)
+
+
+def _site_lines(spark, prefix, table, sites, schema, only, escaped, options) -> DataFrame:
     wanted = range(sites) if only is None else [only] if isinstance(only, int) else only
     paths = [table_path(prefix, table, site, sites) for site in wanted]
     site = F.regexp_extract(F.col("_metadata.file_path"), SITE_PATTERN, 1).cast("int")
-    rows = spark.read.schema(schema).options(header=False, **_options(escaped)).csv(paths)
-    rows = rows.withColumn("site", site)
-    return _unescape(rows) if escaped else rows
+    reader = spark.read.schema(schema).options(header=False, **_options(escaped), **options)
+    return reader.csv(paths).withColumn("site", site)
 
 
 def write_sites(
@@ -95,7 +153,7 @@ def write_sites(
     number = F.col(site).cast("string")
     path = F.concat(F.lit(f"{name}_t_{table}_p_"), number, F.lit(f"_of_{sites}.csv"))
     (
-        (_escape(df) if escaped else df)
+        (_escape(df) if escaped else _plain(df, site))
         .withColumn("file", path)
         .drop(site)
         .write.mode("overwrite")
@@ -134,16 +192,18 @@ def write_table(
 ) -> None:
     """Overwrite ``path``; CSV comes without a header.
 
-    Plain CSV cannot tell an empty text from NULL, and a line break ends a row.
-    With ``escaped``, texts hold ``%E`` for empty and ``%25 %0A %0D %22 %5C`` for
-    ``%``, line breaks, quotes and backslashes, and files stay splittable; read
-    them with ``escaped`` as well.  Times are written to the microsecond then.
+    Plain CSV cannot tell an empty text from NULL, a line break ends a row, and a
+    line with nothing on it is none.  Rows with such values are an error there.
+    With ``escaped``, ``%N`` stands for NULL in any column, texts hold ``%E`` for
+    empty and ``%25 %0A %0D %22 %5C`` for ``%``, line breaks, quotes and
+    backslashes, and files stay splittable; read them with ``escaped`` as well.
+    Times are written to the microsecond.
     """
     _check(fmt)
     if fmt == "parquet":
         df.write.mode("overwrite").parquet(path)
         return
-    writer = (_escape(df) if escaped else df).write.mode("overwrite")
+    writer = (_escape(df) if escaped else _plain(df)).write.mode("overwrite")
     writer.options(header=False, **_options(escaped)).csv(path)
 
 
@@ -151,16 +211,21 @@ def _options(escaped: bool) -> dict[str, object]:
     """CSV options; spaces around a value belong to it in files of our own."""
     spaces = dict(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     if not escaped:
+        # A fraction of a second may have any number of digits when it is read.
         return spaces
-    return spaces | dict(
-        timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
-        timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-    )
+    return spaces | TIMES | dict(nullValue=NULL)
 
 
 # Signs that plain CSV loses or changes, and what stands for them.
 ESCAPES = (("%", "%25"), ("\n", "%0A"), ("\r", "%0D"), ('"', "%22"), ("\\", "%5C"))
-EMPTY = "%E"
+EMPTY, NULL = "%E", "%N"
+TIMES = dict(
+    timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+)
+
+#: Column that a reader puts a malformed line in.
+MALFORMED = "_malformed"
 
 
 def _texts(df: DataFrame) -> list[str]:
@@ -177,6 +242,23 @@ def _escape(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
+def _plain(df: DataFrame, *beside: str) -> DataFrame:
+    """Rows that plain CSV holds as they are; the first other one fails the write."""
+    out = {}
+    for name in _texts(df):
+        text = F.col(quoted(name))
+        lost = (text == "") | text.contains("\n") | text.contains("\r")
+        why = f"column {name}: plain CSV cannot hold an empty text or a line break"
+        out[name] = F.when(lost, F.raise_error(F.lit(why)).cast("string")).otherwise(text)
+    values = [c for c in df.columns if c not in beside]
+    if len(values) == 1:
+        name = values[0]
+        value = out.get(name, F.col(quoted(name)))
+        why = F.raise_error(F.lit(f"column {name}: plain CSV has no line for a single NULL"))
+        out[name] = F.when(value.isNull(), why.cast(df.schema[name].dataType)).otherwise(value)
+    return df.withColumns(out) if out else df
+
+
 def _unescape(df: DataFrame) -> DataFrame:
     out = {}
     for name in _texts(df):

@@ -18,6 +18,7 @@ from ..operators.draws import expand_copies
 
 # Fixed values.
 KEY_SIZE = 16  # letters of a key, where no size is given
+POOL_BITS = 48  # keys of a table have less than 2**48 positions
 ZIPF_SEED = 12345  # the Zipf counts do not depend on table, site or run
 MOST_RECORDS = 2.0**62  # Zipf numbers are BIGINTs
 VALUE_COLUMNS = ("value_one", "value_two", "value_three", "value_four", "value_five")
@@ -41,11 +42,14 @@ def synth_keys(
     if not 0.0 <= overlap <= 1.0:
         raise ValueError(f"overlap must be between 0 and 1, not {overlap!r}")
     shared = int(num_keys * overlap)
-    words = {}
-    for i in range(words_needed(key_size)):
-        both, mine = (mix52("key_idx", f"{pool}-key-{i}", seed) for pool in ("shared", f"table{table}"))
-        words[f"_word{i}"] = F.expr(f"if(key_idx < {shared}, {both}, {mine})")
-    keyed = positions.select("key_idx").withColumns(words)
+    # A number of its own for each key of each table; a shared key has one.
+    pool = (int(table) + 1) << POOL_BITS
+    number = F.expr(f"coalesce(if(key_idx < {shared}, key_idx, key_idx ^ {pool}L), 0L)")
+    words = {
+        f"_word{i}": F.expr(mix52("_number", f"key-{i}", seed))
+        for i in range(words_needed(key_size))
+    }
+    keyed = positions.select("key_idx", number.alias("_number")).withColumns(words)
     return keyed.selectExpr("key_idx", f"{letters_from(list(words), key_size)} as key")
 
 
@@ -171,14 +175,17 @@ def _records(counted: DataFrame, table: int, value_size: int, seed: int) -> Data
     Blocks of records are shuffled first: the largest key is not one task.
     """
     records = expand_copies(_with_place(counted, seed), spread_by=["key_idx", "site"])
+    # Never NULL; saying so keeps null checks out of the generated code, which is
+    # not compiled to machine code beyond 8,000 bytes a method.
+    records = records.withColumn("_record", F.expr("coalesce(_place ^ copy, 0L)"))
+    names = [f"_word{i}" for i in range(words_needed(value_size * len(VALUE_COLUMNS)))]
     words = {
-        f"_{c}{i}": F.expr(mix52("(_place ^ copy)", f"table{table}-{c}-{i}", seed))
-        for c in VALUE_COLUMNS
-        for i in range(words_needed(value_size))
+        name: F.expr(mix52("_record", f"table{table}-record-{i}", seed))
+        for i, name in enumerate(names)
     }
     values = [
-        letters_from([f"_{c}{i}" for i in range(words_needed(value_size))], value_size) + f" as {c}"
-        for c in VALUE_COLUMNS
+        letters_from(names, value_size, value_size * i) + f" as {c}"
+        for i, c in enumerate(VALUE_COLUMNS)
     ]
     return records.withColumns(words).selectExpr(
         f"{int(table)} as table", "site", "key", *values
