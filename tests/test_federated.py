@@ -114,3 +114,36 @@ def test_a_missing_site_is_an_error(spark, site_files, tmp_path):
         jobs.run_sample(spark, site_files, root, site=p, sites=3, **draw)
     with pytest.raises(IncompletePhase, match="no manifest"):
         jobs.run_join(spark, root, f"{tmp_path}/out", sites=3, **draw)
+
+
+@pytest.mark.parametrize("ids", [None, "id"])
+def test_phases_with_several_keys_and_ids(spark, tmp_path, ids):
+    """Typed columns, two keys of which one has a dot, NULL keys, ids that sites share."""
+    for t in jobs.TABLES:
+        rows = spark.range(240).selectExpr(
+            "id div 3 as id", "if(id % 11 = 0, NULL, cast(id % 5 as int)) as `k.1`",
+            "'k' || id % 2 as k2", f"'{t}-' || id as v", "cast(id % 3 as int) as site",
+        )
+        prefix = files.write_sites(rows, f"{tmp_path}/tables", "two", t, 3)
+    schema = rows.drop("site").schema
+    run = dict(sites=3, schema=schema, key=["k.1", "k2"])
+    draw = dict(fraction=0.2, seed=4, null_safe=True, ids=ids)
+    root, out, whole = (f"{tmp_path}/{x}" for x in ("root", "out", "whole"))
+    for p in range(3):
+        jobs.run_count(spark, prefix, root, site=p, **run)
+    jobs.run_merge(spark, root, **run)
+    for p in range(3):
+        jobs.run_sample(spark, prefix, root, site=p, **run, **draw)
+    jobs.run_join(spark, root, out, out_fmt="parquet", **run, **draw)
+    jobs.run_centralized(spark, prefix, whole, fmt="parquet", **run, **draw)
+    phased = spark.read.parquet(out)
+    assert phased.columns == ["k.1", "k2", "id_1", "v_1", "id_2", "v_2"]
+    assert rows_of(phased) == rows_of(spark.read.parquet(whole))
+    assert phased.filter("`k.1` IS NULL").count() > 0 and phased.count() > 200
+
+
+def test_bad_columns_of_the_jobs(spark, tmp_path):
+    with pytest.raises(ValueError, match="key columns"):
+        jobs.run_merge(spark, str(tmp_path), sites=1, key="nope")
+    with pytest.raises(ValueError, match="id columns"):
+        jobs.run_join(spark, str(tmp_path), "out", sites=1, fraction=0.1, ids="nope")

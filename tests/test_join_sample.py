@@ -181,3 +181,20 @@ def test_collated_keys_meet(spark):
     right = spark.range(60).selectExpr("id as rid", "'A' collate UTF8_LCASE as key")
     pairs = ws.join_sample(left, right, "key", 0.5, seed=3, left_id="lid", right_id="rid")
     assert pairs.count() > 1500
+
+
+@pytest.mark.parametrize("method", METHODS)
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_names_with_dots_and_backticks(hand, method, null_safe):
+    left, right = hand
+    left = left.withColumnsRenamed({"key": "a.key", "lid": "l`id"}).withColumn("v.x", F.lit(1))
+    right = right.withColumnsRenamed({"key": "b.key", "rid": "r.id"}).withColumn("v.x", F.lit(2))
+    pairs = ws.join_sample(
+        left, right, [("a.key", "b.key")], 20.0, seed=1, left_id="l`id", right_id="r.id",
+        method=method, null_safe=null_safe, slot_rows=4, part_rows=2,
+    )
+    assert pairs.columns == ["a.key", "l`id", "v.x_1", "r.id", "v.x_2"]
+    plain = by_hand(hand, 20.0, method=method, null_safe=null_safe)
+    assert rows_of(pairs.select("`a.key`", "`l``id`", "`r.id`")) == rows_of(plain)
+    ids = ws.join_sample(left, right, [("a.key", "b.key")], 1.0, method=method)
+    assert ids.columns == pairs.columns and ids.count() > 0

@@ -11,10 +11,11 @@ import argparse
 import json
 
 from pyspark.sql import SparkSession
+from pyspark.sql.types import StructType
 
 from .plans import jobs
 from .sources import synth
-from .sources.sites import FORMATS, write_sites
+from .sources.sites import FORMATS, TABLE_SCHEMA, write_sites
 
 KINDS = ("uniform", "sliced", "zipf", "mixed")
 
@@ -40,11 +41,12 @@ def parser() -> argparse.ArgumentParser:
     make.add_argument("--zipf-param", type=float)
 
     run = ("sites", "fraction", "seed", "null-safe", "metrics")
-    command("centralized", "prefix", "out", "method", "format", *run)
-    command("count", "prefix", "root", "site", "sites", "metrics")
-    command("merge", "root", "sites", "metrics")
-    command("sample", "prefix", "root", "site", *run)
-    command("join", "root", "out", "format", *run)
+    table = ("key", "columns")
+    command("centralized", "prefix", "out", "method", "format", "id", *table, *run)
+    command("count", "prefix", "root", "site", "sites", "metrics", *table)
+    command("merge", "root", "sites", "metrics", *table)
+    command("sample", "prefix", "root", "site", "id", *table, *run)
+    command("join", "root", "out", "format", "id", *table, *run)
     return top
 
 
@@ -59,6 +61,9 @@ OPTIONS: dict[str, dict] = {
     "method": dict(choices=("zip", "indexed"), default="zip"),
     "format": dict(choices=FORMATS, default="csv", help="of the sampled join"),
     "null-safe": dict(action="store_true", help="let NULL keys match each other"),
+    "key": dict(action="append", help="key column; repeat for several (default: key)"),
+    "id": dict(action="append", help="column that tells a site's rows apart; may be repeated"),
+    "columns": dict(help="of the tables, as in 'key string, n long' (default: key and five values)"),
     "metrics": dict(help="folder to append rows and bytes written to, as JSON"),
 }
 
@@ -103,20 +108,20 @@ def generate(spark: SparkSession, a: argparse.Namespace) -> str:
 def run(spark: SparkSession, a: argparse.Namespace) -> object:
     if a.command == "generate":
         return {"prefix": generate(spark, a)}
+    schema = StructType.fromDDL(a.columns) if a.columns else TABLE_SCHEMA
+    table = dict(schema=schema, key=a.key or "key", sites=a.sites, metrics=a.metrics)
     if a.command == "count":
-        return jobs.run_count(
-            spark, a.prefix, a.root, site=a.site, sites=a.sites, metrics=a.metrics
-        )
+        return jobs.run_count(spark, a.prefix, a.root, site=a.site, **table)
     if a.command == "merge":
-        return jobs.run_merge(spark, a.root, sites=a.sites, metrics=a.metrics)
-    common = dict(fraction=a.fraction, seed=a.seed, null_safe=a.null_safe, metrics=a.metrics)
+        return jobs.run_merge(spark, a.root, **table)
+    common = table | dict(fraction=a.fraction, seed=a.seed, null_safe=a.null_safe, ids=a.id)
     if a.command == "centralized":
         return jobs.run_centralized(
-            spark, a.prefix, a.out, sites=a.sites, method=a.method, fmt=a.format, **common
+            spark, a.prefix, a.out, method=a.method, fmt=a.format, **common
         )
     if a.command == "sample":
-        return jobs.run_sample(spark, a.prefix, a.root, site=a.site, sites=a.sites, **common)
-    return jobs.run_join(spark, a.root, a.out, sites=a.sites, out_fmt=a.format, **common)
+        return jobs.run_sample(spark, a.prefix, a.root, site=a.site, **common)
+    return jobs.run_join(spark, a.root, a.out, out_fmt=a.format, **common)
 
 
 def main(argv: list[str] | None = None) -> None:

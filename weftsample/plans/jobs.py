@@ -25,8 +25,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType, LongType, StructType
 
+from ..functions.hashing import quoted
 from ..operators.frequencies import merge_key_frequencies, shared_key_counts, site_key_frequencies
-from ..operators.keys import digest_rows, identify_rows
+from ..operators.keys import as_list, digest_rows, identify_rows
 from ..operators.pairing import pair_on_slot
 from ..sources.sites import (
     TABLE_SCHEMA,
@@ -41,6 +42,7 @@ from .sampling import Settings, join_sample, site_samples, zip_slots
 TABLES = (0, 1)
 SIDE = {0: "left", 1: "right"}
 Metrics = list[dict[str, object]]
+Names = str | Sequence[str]
 
 
 def run_centralized(
@@ -52,7 +54,8 @@ def run_centralized(
     fraction: float,
     seed: int = 0,
     schema: StructType = TABLE_SCHEMA,
-    key: str = "key",
+    key: Names = "key",
+    ids: Names | None = None,
     fmt: str = "csv",
     method: str = "zip",
     null_safe: bool = False,
@@ -60,9 +63,11 @@ def run_centralized(
 ) -> Metrics:
     """Read both tables of all sites and write their sampled join."""
     left, right = (read_sites(spark, prefix, t, sites, schema=schema) for t in TABLES)
+    names = _row_ids(schema, ids)
     pairs = join_sample(
-        left, right, key, fraction, seed=seed, method=method, null_safe=null_safe
-    ).drop("site_1", "site_2")
+        left, right, _keys(schema, key), fraction, seed=seed, left_id=names, right_id=names,
+        method=method, null_safe=null_safe,
+    ).drop("site_1", "site_2")
     return _save(spark, [("join", None, None, pairs, out)], fmt, metrics)
 
 
@@ -74,7 +79,7 @@ def run_count(
     site: int,
     sites: int,
     schema: StructType = TABLE_SCHEMA,
-    key: str = "key",
+    key: Names = "key",
     fmt: str = "parquet",
     metrics: str | None = None,
 ) -> Metrics:
@@ -86,7 +91,7 @@ def run_count(
     outputs = []
     for t in TABLES:
         rows, lines = read_sites_counted(spark, prefix, t, sites, schema=schema, only=site)
-        counts = site_key_frequencies(rows, key).drop("site")
+        counts = site_key_frequencies(rows, _keys(schema, key)).drop("site")
         path = _path(root, "site_counts", t, sites=sites, site=site)
         outputs.append(("count", t, site, counts, path, lines))
     return _save(spark, outputs, fmt, metrics)
@@ -98,7 +103,7 @@ def run_merge(
     *,
     sites: int,
     schema: StructType = TABLE_SCHEMA,
-    key: str = "key",
+    key: Names = "key",
     fmt: str = "parquet",
     metrics: str | None = None,
 ) -> Metrics:
@@ -106,7 +111,7 @@ def run_merge(
     outputs = []
     for t in TABLES:
         counts = _read_sites(spark, root, "site_counts", t, fmt, _count_schema(schema, key), sites=sites)
-        merged = merge_key_frequencies(counts, key)
+        merged = merge_key_frequencies(counts, _keys(schema, key))
         outputs.append(("merge", t, None, merged, _path(root, "global_counts", t, sites=sites)))
     return _save(spark, outputs, fmt, metrics)
 
@@ -121,28 +126,33 @@ def run_sample(
     fraction: float,
     seed: int = 0,
     schema: StructType = TABLE_SCHEMA,
-    key: str = "key",
+    key: Names = "key",
+    ids: Names | None = None,
     fmt: str = "parquet",
     null_safe: bool = False,
     metrics: str | None = None,
 ) -> Metrics:
-    """Phase 3, at one site: draw copies of its rows, weighted by the global counts."""
-    how = Settings([key], fraction, seed, null_safe)
+    """Phase 3, at one site: draw copies of its rows, weighted by the global counts.
+
+    ``ids`` name columns that tell the rows of a site apart; without them equal
+    rows are folded first, which shuffles whole rows.
+    """
+    keys, names = _keys(schema, key), _row_ids(schema, ids)
+    how = Settings(keys, fraction, seed, null_safe)
     left, right = (
         _read_whole(
             spark, _path(root, "global_counts", t, sites=sites), fmt, _count_schema(schema, key)
         )
         for t in TABLES
     )
-    counts = shared_key_counts(left, right, key, name="count", null_safe=null_safe)
+    counts = shared_key_counts(left, right, keys, name="count", null_safe=null_safe)
     drawn = dict(fraction=fraction, seed=seed, null_safe=null_safe)
     outputs = []
     for t in TABLES:
-        rows, ids = identify_rows(
-            read_sites(spark, prefix, t, sites, schema=schema, only=site), None
-        )
-        sample = site_samples(rows, counts, how, SIDE[t], ids).select(
-            *schema.names, "weight", "own_count", "copies"
+        rows = read_sites(spark, prefix, t, sites, schema=schema, only=site)
+        rows, known_by = identify_rows(rows, names)
+        sample = site_samples(rows, counts, how, SIDE[t], known_by).select(
+            *map(quoted, schema.names), "weight", "own_count", "copies"
         )
         path = _path(root, "samples", t, sites=sites, **drawn, site=site)
         outputs.append(("sample", t, site, sample, path))
@@ -158,29 +168,34 @@ def run_join(
     fraction: float,
     seed: int = 0,
     schema: StructType = TABLE_SCHEMA,
-    key: str = "key",
+    key: Names = "key",
+    ids: Names | None = None,
     fmt: str = "parquet",
     out_fmt: str = "csv",
     null_safe: bool = False,
     metrics: str | None = None,
 ) -> Metrics:
     """Phase 4, at the coordinator: pair the sampled rows of all sites."""
-    how = Settings([key], fraction, seed, null_safe)
+    keys, names = _keys(schema, key), _row_ids(schema, ids)
+    how = Settings(keys, fraction, seed, null_safe)
     sample_schema = StructType(list(schema.fields))
     for name in ("weight", "own_count", "copies"):
         sample_schema = sample_schema.add(name, LongType())
-    values = [c for c in schema.names if c != key]
+    values = [c for c in schema.names if c not in keys]
     slotted = []
     for t in TABLES:
         sample = _read_sites(
             spark, root, "samples", t, fmt, sample_schema,
             sites=sites, fraction=fraction, seed=seed, null_safe=null_safe,
         )
-        # As in phase 3, a row is known by its values and its site.
-        sample, ids = digest_rows(sample, [*schema.names, "site"])
-        slotted.append(zip_slots(sample, how, SIDE[t], ids))
+        # As in phase 3, a row is known by its ids or its values, and its site.
+        if names is None:
+            sample, known_by = digest_rows(sample, [*schema.names, "site"])
+        else:
+            known_by = names
+        slotted.append(zip_slots(sample, how, SIDE[t], known_by))
     pairs = pair_on_slot(
-        *slotted, [key], left_values=values, right_values=values, null_safe=null_safe
+        *slotted, keys, left_values=values, right_values=values, null_safe=null_safe
     )
     return _save(spark, [("join", None, None, pairs, out)], out_fmt, metrics)
 
@@ -221,8 +236,26 @@ def _read_whole(spark: SparkSession, path: str, fmt: str, schema: StructType) ->
     return rows
 
 
-def _count_schema(schema: StructType, key: str) -> StructType:
-    return StructType([schema[key]]).add("count", LongType())
+def _keys(schema: StructType, key: Names) -> list[str]:
+    keys = as_list(key)
+    missing = [k for k in keys if k not in schema.names]
+    if missing or not keys:
+        raise ValueError(f"no such key columns: {missing}" if keys else "no key columns")
+    return keys
+
+
+def _row_ids(schema: StructType, ids: Names | None) -> list[str] | None:
+    """Columns that tell all rows apart: those that do so at one site, and the site."""
+    if ids is None:
+        return None
+    missing = [c for c in as_list(ids) if c not in schema.names]
+    if missing:
+        raise ValueError(f"no such id columns: {missing}")
+    return [*as_list(ids), "site"]
+
+
+def _count_schema(schema: StructType, key: Names) -> StructType:
+    return StructType([schema[k] for k in _keys(schema, key)]).add("count", LongType())
 
 
 def _save(
