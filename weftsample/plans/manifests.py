@@ -68,9 +68,14 @@ def column_text(schema: StructType) -> str:
 
 def write_manifest(df: DataFrame, path: str, numbers: Mapping[str, object]) -> None:
     """The last step of a write: until this commits, the result does not count."""
-    row = (path, column_text(df.schema), *(numbers[k] for k in ("n_rows", "n_bytes", "check")))
-    line = df.sparkSession.createDataFrame([row], FIELDS)
-    line.coalesce(1).write.mode("overwrite").json(f"{path}/{FOLDER}")
+    line = df.sparkSession.range(1, numPartitions=1).select(
+        F.lit(path).alias("path"),
+        F.lit(column_text(df.schema)).alias("columns"),
+        F.lit(numbers["n_rows"]).cast("long").alias("n_rows"),
+        F.lit(numbers["n_bytes"]).cast("long").alias("n_bytes"),
+        F.array(*map(F.lit, numbers["check"])).cast("array<long>").alias("check"),
+    )
+    line.write.mode("overwrite").json(f"{path}/{FOLDER}")
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict[str, object]:
