@@ -163,9 +163,12 @@ def test_layout():
         ("a <select>no<option disabled>no<option>Two</option></select> b", "a Two b"),
         ("a<select multiple><optgroup><option>One<optgroup><option>Two</select>b", "a\nOne\nTwo\nb"),
         ("a <object>shown</object> <object data=x.pdf>no</object>b", "a shown b"),
+        ("a<dialog>no</dialog><dialog id=x>no</dialog><dialog open>in</dialog>b", "a\nin\nb"),
+        ("a<dialog class='open'>no</dialog><dialog class=x OPEN=''>in</dialog>", "a\nin"),
         ("a<audio>no</audio><canvas>no</canvas><datalist><option>no</datalist>b", "ab"),
     ],
-    ids=["math", "svg", "foreign", "textarea", "select", "first", "multiple", "object", "others"],
+    ids=["math", "svg", "foreign", "textarea", "select", "first", "multiple", "object", "dialog",
+         "open", "others"],
 )
 def test_what_browsers_show_is_kept(page, text):
     assert render(page) == text

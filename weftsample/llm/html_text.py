@@ -147,7 +147,7 @@ def hidden(name: str, attributes: str) -> bool:
 
     What stands in an ``object`` with data is for browsers that cannot show the data.
     """
-    if name in INVISIBLE:
+    if name in INVISIBLE or (name == "dialog" and "open" not in _values(attributes)):
         return True
     if not attributes or attributes.isspace():
         return False
@@ -159,8 +159,6 @@ def hidden(name: str, attributes: str) -> bool:
             return True
         if key == "style" and _HIDING.search(html.unescape(value)):
             return True
-        if name == "dialog" and "open" not in attributes.lower().split():
-            return True
     return False
 
 
