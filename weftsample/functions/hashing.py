@@ -155,15 +155,20 @@ def words_needed(length: int) -> int:
     return -(-length // LETTERS_PER_HASH)
 
 
-def key_bucket(rows: DataFrame, keys: Sequence[str]) -> Column:
-    """One of ``KEY_BUCKETS`` buckets of the join key; equal keys share one.
+def key_hash(rows: DataFrame, keys: Sequence[str]) -> Column:
+    """64 bits of the join key; equal keys share them.
 
     Texts under a collation are equal in more than one spelling, which no hash
-    function knows; they take no part in the bucket.
+    function knows; they take no part in it.
     """
     types = {field.name: field.dataType for field in rows.schema.fields}
     names = ", ".join(quoted(k) for k in keys if not _collated(types[k])) or "0"
-    return F.expr(f"cast(xxhash64({names}) & {KEY_BUCKETS - 1} as int)")
+    return F.expr(f"xxhash64({names})")
+
+
+def key_bucket(rows: DataFrame, keys: Sequence[str]) -> Column:
+    """One of ``KEY_BUCKETS`` buckets of the join key, by its hash."""
+    return key_hash(rows, keys).bitwiseAND(F.lit(KEY_BUCKETS - 1).cast("long")).cast("int")
 
 
 def _collated(kind: DataType) -> bool:

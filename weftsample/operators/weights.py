@@ -7,6 +7,8 @@ whatever the data.
 
 * Rows of other buckets have no partner, and a caller that can tell from an upper
   bound of the weight that a row is not needed drops it; both before the shuffle.
+* With many shared keys every bucket has a partner for some key; a bit set of the
+  shared keys (``bitsets``) then drops rows whose own key has none.
 * Keys of a bucket with more than ``part_rows`` rows of one key are spread over
   several parts, and their counts are repeated once per part.
 
@@ -21,12 +23,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import key_bucket, quoted
+from ..functions.hashing import KEY_BUCKETS, key_bucket, key_hash, quoted
+from .bitsets import bit_set, members_of
 from .keys import cast_keys, join_keys
 
 # Fixed values.
 PART_ROWS = 4_000_000  # rows of one key that one task may get
 
+GUIDED_KEYS = KEY_BUCKETS // 16  # up to so many shared keys leave 15 of 16 buckets empty
+
 SIDES = {"left": ("n_left", "n_right"), "right": ("n_right", "n_left")}
 
 
@@ -40,15 +45,19 @@ def attach_weights(
     keep: Callable[[str], str] | None = None,
     null_safe: bool = False,
     part_rows: int = PART_ROWS,
+    shared: int | None = None,
 ) -> DataFrame:
     """Rows whose key occurs in both tables, with ``weight`` and ``own_count``.
 
     ``counts`` is the output of ``shared_key_counts``; the keys take the types they
     have there.  ``keep`` turns an upper bound of the weight into a predicate; rows
-    that fail it are dropped early.
+    that fail it are dropped early.  ``shared``, the number of rows of ``counts``
+    where the caller knows it, lets a bit set drop keys without a partner.
     """
     own, other = SIDES[side]
     rows = cast_keys(rows, counts, keys)
+    if shared is not None:
+        rows = near_keys(rows, counts, keys, shared=shared)
     bucketed = counts.withColumn("_bucket", key_bucket(counts, keys))
     guide = bucketed.groupBy("_bucket").agg(
         F.expr("array(max(n_left), max(n_right)) as _bounds")
@@ -71,6 +80,19 @@ def attach_weights(
     )
 
 
+def near_keys(
+    rows: DataFrame, counts: DataFrame, keys: Sequence[str], *, shared: int
+) -> DataFrame:
+    """Rows whose key is one of the ``shared`` keys of ``counts``, and few others.
+
+    With few shared keys the guide tells as much, and the rows stay as they are.
+    """
+    if shared <= GUIDED_KEYS:
+        return rows
+    pages = bit_set(counts.select(key_hash(counts, keys).alias("hash")), "hash", shared)
+    return members_of(rows, key_hash(rows, keys), pages, shared)
+
+
 def attach_large_weights(
     rows: DataFrame,
     counts: DataFrame,
