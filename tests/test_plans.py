@@ -60,10 +60,42 @@ def test_each_table_is_read_once_for_counts_and_once_for_rows(spark, plans):
     assert not scans(final, "orders")
 
 
-def test_indexed_reads_each_table_once_for_counts_and_once_for_rows(spark, plans):
+def test_indexed_numbers_keys_and_ids_and_reads_values_of_picked_rows(spark, plans):
+    """Right table: keys for the counts, keys and ids for the numbers, then picked rows."""
     final, _ = executed(sampled(spark, "indexed"))
-    whole = "".join([final, *(p for p, _ in plans.values())])
-    assert scans(whole, "orders") == 2 and scans(whole, "events") == 2
+    assert set(plans) == {"counts", "picks"}
+    steps = [final, *(p for p, _ in plans.values())]
+    assert sum(scans(p, "orders") for p in steps) == 2
+    assert [scans(p, "events") for p in (plans["counts"][0], plans["picks"][0], final)] == [1, 1, 1]
+    assert not scans(final, "orders")
+    # Neither the scan below the numbering nor its shuffle and window hold a value.
+    assert "props" not in plans["picks"][0] and "event_type" not in plans["picks"][0]
+    # Of the rows that are read in full, those without a bit go before the shuffle.
+    below = final[final.index("FileScan") :] if "FileScan" in final else final
+    assert "_words" in final and "props" in below
+
+
+def test_indexed_without_right_ids_numbers_whole_rows(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "a")], "lid long, key string")
+    right = spark.createDataFrame([("x", "a"), ("x", "a"), ("y", "a")], "v string, key string")
+    pairs = ws.join_sample(left, right, "key", 400.0, seed=3, left_id="lid", method="indexed")
+    found = {r.v: r["count"] for r in pairs.groupBy("v").count().collect()}
+    assert 1.7 < found["x"] / found["y"] < 2.3
+
+
+def test_indexed_with_null_keys_and_ids_of_several_columns(spark):
+    left = spark.createDataFrame([(1, None), (2, "a")], "lid long, key string")
+    right = spark.createDataFrame(
+        [(1, None, None, "x"), (1, "q", None, "y"), (1, "q", "a", "z")],
+        "n int, m string, key string, v string",
+    )
+    pairs = ws.join_sample(
+        left, right, "key", 300.0, seed=3, left_id="lid", right_id=["n", "m"], method="indexed",
+        null_safe=True,
+    )
+    found = {(r.lid, r.v): r["count"] for r in pairs.groupBy("lid", "v").count().collect()}
+    assert set(found) == {(1, "x"), (1, "y"), (2, "z")}
+    assert all(240 < n < 360 for n in found.values())
 
 
 def test_indexed_reads_no_columns_that_are_not_asked_for(spark):

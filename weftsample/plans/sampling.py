@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix52, quoted, uniform, with_row_bits
+from ..operators.bitsets import bit_set, members_of
 from ..operators.draws import COPY_BLOCK, expand_copies, expected_pairs, may_draw, poisson_draws
 from ..operators.frequencies import shared_key_counts, site_key_frequencies
 from ..operators.keys import (
@@ -17,6 +18,7 @@ from ..operators.keys import (
     check_columns,
     check_fraction,
     identify_rows,
+    join_keys,
 )
 from ..operators.pairing import SLOT_ROWS, number_within_key, pair_on_slot, value_names
 from ..operators.unions import union_sites
@@ -33,7 +35,8 @@ class Settings:
     """What all steps of one sampled join agree on.
 
     ``slot_rows`` and ``part_rows`` say how finely large keys are cut up; they
-    change the work of a task, not the result.
+    change the work of a task, not the result.  ``shared`` and ``most`` are what
+    ``knowing`` finds out about the shared keys.
     """
 
     keys: list[str]
@@ -42,6 +45,16 @@ class Settings:
     null_safe: bool = False
     slot_rows: int = SLOT_ROWS
     part_rows: int = PART_ROWS
+    shared: int | None = None
+    most: int | None = None
+
+    def knowing(self, counts: DataFrame) -> Settings:
+        """With the number of shared keys and the most rows that one of them has.
+
+        ``counts`` is a stored table: one small job over two columns.
+        """
+        facts = counts.agg(F.count(F.lit(1)), F.max(F.greatest("n_left", "n_right"))).first()
+        return replace(self, shared=facts[0], most=facts[1] or 0)
 
     def __post_init__(self) -> None:
         check_fraction(self.fraction)
@@ -76,11 +89,13 @@ def join_sample(
     unbiased, with replacement, but all right rows with a shared key are numbered.
 
     ``left_id`` and ``right_id`` name columns that tell the rows apart.  Without
-    them whole rows are used.  The result depends on the rows, the fraction and
+    them whole rows are used.  With ``right_id``, ``indexed`` numbers keys and ids
+    alone and reads the right rows that were picked afterwards, by key and id; a
+    repeated id would bring all of its rows at each pick.  The result depends on the rows, the fraction and
     the seed, and on nothing else.
 
-    Key counts and, for ``zip``, the rows that were drawn are written to the
-    shared scratch folder when this is called, and read back: they are needed
+    Key counts and the rows that were drawn (``indexed``: the picks, where
+    ``right_id`` is given) are written to the shared scratch folder when this is called, and read back: they are needed
     more than once, and no draw is repeated.
     """
     if method not in METHODS:
@@ -95,12 +110,16 @@ def join_sample(
     left_rows, left_ids = identify_rows(left, left_id)
     right_rows, right_ids = identify_rows(right, right_id)
     counts = stored(shared_key_counts(left, right, keys, null_safe=null_safe), "counts")
+    how = how.knowing(counts)
     if method == "zip":
         mine = _zip_slots(left_rows, counts, how, "left", left_ids)
         theirs = _zip_slots(right_rows, counts, how, "right", right_ids)
     else:
         mine = _picks(left_rows, counts, how, left_ids)
-        theirs = number_rows(right_rows, counts, how, right_ids)
+        if right_id is not None and set(right_values) - set(right_ids):
+            mine, theirs = _picked_rows(mine, right, counts, how, left_values, right_ids)
+        else:
+            theirs = number_rows(right_rows, counts, how, right_ids)
     return pair_on_slot(
         mine, theirs, keys, left_values=left_values, right_values=right_values,
         suffixes=suffixes, null_safe=null_safe,
@@ -152,6 +171,7 @@ def federated_join_sample(
         null_safe=null_safe,
     )
     counts = stored(counts, "counts")
+    how = how.knowing(counts)
     return pair_on_slot(
         _zip_slots(left_rows, counts, how, "left", left_ids),
         _zip_slots(right_rows, counts, how, "right", right_ids),
@@ -178,6 +198,7 @@ def site_samples(
         keep=may_draw(how.fraction),
         null_safe=how.null_safe,
         part_rows=how.part_rows,
+        shared=how.shared,
     )
     return poisson_draws(weighted, how.fraction, ids=ids, side=side, seed=how.seed)
 
@@ -236,6 +257,35 @@ def _picks(left: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str]
     )
 
 
+def _picked_rows(
+    picks: DataFrame,
+    right: DataFrame,
+    counts: DataFrame,
+    how: Settings,
+    left_values: Sequence[str],
+    ids: Sequence[str],
+) -> tuple[DataFrame, DataFrame]:
+    """Picks and the right rows they picked, both with the right row's hash as ``slot``.
+
+    Keys and ids alone are numbered; the picks learn the id of their row and are
+    stored.  Only right rows that a bit set of the picked ids lets through are
+    then read in full and shuffled, however wide the table is.
+    """
+    own = list(dict.fromkeys([*how.keys, *ids]))
+    index = number_rows(_one_each(right.select(*map(quoted, own))), counts, how, ids)
+    index = index.select(*map(quoted, how.keys), "slot", F.struct(*map(quoted, own)).alias("_own"))
+    kept = [*map(quoted, dict.fromkeys([*how.keys, *left_values])), "slot"]
+    picked = join_keys(picks.select(*kept), index, [*how.keys, "slot"], null_safe=how.null_safe)
+    picked = stored(picked.drop("slot").withColumnRenamed("_own", "slot"), "picks")
+    pages = bit_set(picked.select(F.xxhash64("slot").alias("hash")), "hash", picked.count())
+    rows = right.withColumn("slot", F.struct(*map(quoted, own)))
+    return picked, members_of(rows, F.xxhash64("slot"), pages, picked.count())
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("_rows", F.lit(1).cast("long"))
+
+
 def number_rows(
     right: DataFrame, counts: DataFrame, how: Settings, ids: Sequence[str], *, purpose: str = "index"
 ) -> DataFrame:
@@ -257,18 +307,21 @@ def number_rows(
         ids=ids,
         null_safe=how.null_safe,
         part_rows=how.part_rows,
+        shared=how.shared,
     )
-    large = attach_large_weights(
-        _narrow(right, how.keys, ids),
-        counts,
-        how.keys,
-        "right",
-        is_large=is_large,
-        null_safe=how.null_safe,
-    )
+    large = None
+    if how.most is None or how.most > min(how.slot_rows, how.part_rows):
+        large = attach_large_weights(
+            _narrow(right, how.keys, ids),
+            counts,
+            how.keys,
+            "right",
+            is_large=is_large,
+            null_safe=how.null_safe,
+        )
     return number_within_key(
         single_rows(rows),
-        single_rows(large),
+        None if large is None else single_rows(large),
         how.keys,
         ids,
         purpose=purpose,
