@@ -49,10 +49,12 @@ def bit_set(hashes: DataFrame, column: str, members: int) -> DataFrame:
     return pages.select("page", F.col("words.bits").alias("words"))
 
 
-def members_of(rows: DataFrame, hash_: Column, pages: DataFrame, members: int) -> DataFrame:
-    """``rows`` whose hash is in the set, and few others; NULL is in no set.
+def mark_members(
+    rows: DataFrame, hash_: Column, pages: DataFrame, members: int, name: str
+) -> DataFrame:
+    """Add the boolean ``name``: true if the hash is in the set, and seldom if it is not.
 
-    ``members`` is the number that the set was made with.
+    ``members`` is the number that the set was made with; ``hash_`` is never NULL.
     """
     bits = bits_for(members)
     placed = rows.withColumn("_place", hash_.bitwiseAND(F.lit(bits - 1).cast("long")))
@@ -62,6 +64,11 @@ def members_of(rows: DataFrame, hash_: Column, pages: DataFrame, members: int) -
     bit = f"cast(_place & {WORD_BITS - 1}L as int)"
     return (
         placed.join(F.broadcast(named), page == F.col("_page"))
-        .filter(f"(shiftright({word}, {bit}) & 1L) = 1L")
+        .withColumn(name, F.expr(f"(shiftright({word}, {bit}) & 1L) = 1L"))
         .drop("_place", "_page", "_words")
     )
+
+
+def members_of(rows: DataFrame, hash_: Column, pages: DataFrame, members: int) -> DataFrame:
+    """``rows`` whose hash is in the set, and few others; NULL is in no set."""
+    return mark_members(rows, hash_, pages, members, "_member").filter("_member").drop("_member")
