@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bitsets import bit_set, mark_members, members_of
 from .common import LOWER, UPPER, column, shared_folder, stored
 
 #: State on disk; a store is closed once its task has committed, so that open
@@ -15,9 +16,6 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
-#: Hash buckets of digests seen twice; the size of the broadcast, whatever the data.
-HIT_BUCKETS = 1 << 17
-
 
 def folded(text: str) -> Column:
     """Text with A-Z in lower case; null counts as empty."""
@@ -89,15 +87,6 @@ def _row(id_col: str) -> Column:
     )
 
 
-def _bucket(digest: Column) -> Column:
-    return F.pmod(F.xxhash64(digest), F.lit(HIT_BUCKETS))
-
-
-def _hits(state: DataFrame) -> DataFrame:
-    """Buckets of digests that came twice: at most ``HIT_BUCKETS`` rows."""
-    return state.filter("n > 1").select(_bucket(F.col("digest")).alias("bucket")).distinct()
-
-
 def _rows(spark: SparkSession, path: str, id_col: str, text_col: str, digest) -> DataFrame:
     """``digest``, ``content`` (folded text) and ``keep`` (identifier and locator) of each row."""
     content = folded(text_col)
@@ -106,22 +95,52 @@ def _rows(spark: SparkSession, path: str, id_col: str, text_col: str, digest) ->
     )
 
 
-def _suspects(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows that may have an equal; the others never leave the scan."""
-    hits = F.broadcast(_hits(state))
-    return rows.join(hits, _bucket(F.col("digest")) == F.col("bucket"), "left_semi")
+def state_hits(state: DataFrame) -> DataFrame:
+    """Entries of the state that came twice or more: ``digest``, ``best``, ``n``; stored."""
+    hits = state.filter("n > 1").select("digest", F.col("keep").alias("best"), "n")
+    return stored(hits, "dedup-hits")
+
+
+class HitBits:
+    """A broadcast bit set of the digests that were hit, sized by their number.
+
+    Rows that it does not hold have no equal and never leave their scan; it lets
+    one in thirty of them through.
+    """
+
+    def __init__(self, hits: DataFrame) -> None:
+        self.members = hits.count()
+        self.pages = bit_set(hits.select(self.hash().alias("hash")), "hash", self.members)
+
+    @staticmethod
+    def hash() -> Column:
+        return F.xxhash64("digest")
+
+    def pick(self, rows: DataFrame) -> DataFrame:
+        return members_of(rows, self.hash(), self.pages, self.members)
 
+    def mark(self, rows: DataFrame, name: str) -> DataFrame:
+        return mark_members(rows, self.hash(), self.pages, self.members, name)
 
-def confirmed_classes(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Classes of rows with the same bytes, among the digests that were hit.
 
-    Hits are grouped by their full bytes, folded per task first.  A digest of
-    one class is confirmed; one of several was a collision, and each class then
-    keeps a row of its own.  ``digest``, ``keep``, ``n``.
+def collided(rows: DataFrame, bits: HitBits) -> DataFrame:
+    """Digests among the hits whose rows have not all the same bytes; stored.
+
+    Hits are compared by their full bytes: folded per task first, so that a text
+    which a third of all rows share is moved once per task.
     """
-    classes = _suspects(rows, state).groupBy("digest", "content")
-    classes = classes.agg(F.max("keep").alias("keep"), F.count("*").alias("n"))
-    return stored(classes.select("digest", "keep", "n"), "dedup-classes")
+    texts = bits.pick(rows).select("digest", "content").distinct()
+    several = texts.groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1")
+    return stored(several.select("digest"), "dedup-collisions")
+
+
+def _by_bytes(rows: DataFrame, split: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of collided digests, and the classes that their bytes make."""
+    theirs = rows.join(split, "digest", "left_semi")
+    classes = theirs.groupBy("digest", "content").agg(
+        F.max("keep").alias("best"), F.count("*").alias("n")
+    )
+    return theirs, classes
 
 
 def exact_duplicates(
@@ -142,26 +161,17 @@ def exact_duplicates(
     """
     rows = _rows(spark, path, id_col, text_col, digest)
     state = digest_state(spark, path, id_col=id_col, text_col=text_col, digest=digest)
-    classes = confirmed_classes(rows, state)
-    split = classes.groupBy("digest").agg(F.count("*").alias("classes")).filter("classes > 1")
-    split = stored(split, "dedup-collisions")
-    whole = classes.select("digest", F.col("keep").alias("best"), "n")
+    hits = state_hits(state)
+    split = collided(rows, HitBits(hits))
     narrow = rows.select("digest", "keep")
     if split.isEmpty():
-        placed = narrow.join(whole, "digest", "left")
+        placed = narrow.join(hits, "digest", "left")
     else:
         # Collided digests tell nothing: their rows meet by their bytes.
-        by_bytes = rows.join(split, "digest", "left_semi")
-        own = by_bytes.groupBy("digest", "content").agg(
-            F.max("keep").alias("best"), F.count("*").alias("n")
-        )
-        placed = (
-            narrow.join(split, "digest", "left_anti")
-            .join(whole, "digest", "left")
-            .unionByName(
-                by_bytes.join(own, ["digest", "content"]).select("digest", "keep", "best", "n")
-            )
-        )
+        theirs, own = _by_bytes(rows, split)
+        met = theirs.join(own, ["digest", "content"]).select("digest", "keep", "best", "n")
+        placed = narrow.join(split, "digest", "left_anti").join(hits, "digest", "left")
+        placed = placed.unionByName(met)
     best = F.coalesce("best", "keep")
     return placed.select(
         F.col("keep.id").alias("id"),
@@ -180,27 +190,32 @@ def drop_exact_duplicates(
     """The rows of ``docs`` that stay, with all their columns, under the same rules.
 
     ``docs`` is written to the shared folder first, so that rows have locators.
+    Rows that the state has met once stay as they are; of the others those stay
+    whose locator the state holds.
     """
     spark = docs.sparkSession
     path = shared_folder(spark, "dedup-input")
     docs.write.parquet(path)
     state = digest_state(spark, path, id_col=id_col, text_col=text_col, digest=digest)
     rows = _rows(spark, path, id_col, text_col, digest)
-    keepers = confirmed_classes(rows, state).select("keep.file", "keep.row")
+    bits = HitBits(state_hits(state))
+    split = collided(rows, bits)
+    keepers = bits.pick(state).join(split, "digest", "left_anti").select("keep.file", "keep.row")
+    if not split.isEmpty():
+        _, classes = _by_bytes(rows, split)
+        keepers = keepers.unionByName(classes.select("best.file", "best.row"))
     table = spark.read.schema(docs.schema).parquet(path)
     # One struct holds the columns, so that no name can clash with those added.
     table = table.select(
         F.struct(*[column(c) for c in docs.columns]).alias("doc"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.row_index").alias("row"),
-        _bucket(digest(folded(text_col))).alias("bucket"),
+        digest(folded(text_col)).alias("digest"),
     )
-    hits = F.broadcast(_hits(state))
-    alone = table.join(hits, "bucket", "left_anti")
-    suspects = table.join(hits, "bucket", "left_semi")
+    marked = bits.mark(table, "hit")
     # Keepers are unique rows: no key of this join is hot.
-    chosen = suspects.join(keepers, ["file", "row"], "left_semi")
-    return alone.select("doc.*").unionByName(chosen.select("doc.*"))
+    chosen = marked.filter("hit").join(keepers, ["file", "row"], "left_semi")
+    return marked.filter("NOT hit").select("doc.*").unionByName(chosen.select("doc.*"))
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
