@@ -179,3 +179,41 @@ def test_long_phone_runs_are_counted_to_the_end():
     assert pii.find_spans(text) == [("phone", 0, 4110)]
     assert pii.find_spans("+1" + " " * 4100 + "2" * 15) == []
     assert pii.find_spans("+1" + " " * 4100 + "2" * 14) == [("phone", 0, 4116)]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><th rowspan=2>a<td>b<td>cc<tr><td>d<td>e<tr><td>1<td colspan=2>wide wide</table>",
+         "a  b  cc\n   d  e\n1  wide wide"),
+        ("<table><tr><td colspan=3>x<td>y<tr><td colspan=3>xx<td>z</table>", "x   y\nxx  z"),
+        ("<table><tr><td colspan=2>long title<td>k<tr><td>a<td>b<td>c</table>",
+         "long title  k\na  b        c"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>",
+         "a  b\n   c\nd  e"),
+        ("<table><tr><td colspan=x rowspan=-1>a<td>b</table>", "a  b"),
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c<hr></div>d", "b\nd"),
+        ("<div style='display:none'>a<b style='visibility: visible'>b</b>c</div>d", "d"),
+        ("<ol reversed><li>a<li>b<ul><li>x</ul><li value=7>c</ol>",
+         "3. a\n2. b\n  - x\n7. c"),
+        ("<ol start=3><li>a<li value=10>b<li>c</ol>", "3. a\n10. b\n11. c"),
+        ("<input type=submit value='Go on'><input type=hidden value=s><input value='x y'>",
+         "Go on x y"),
+    ],
+)
+def test_spans_visibility_numbers_and_buttons(page, text):
+    assert render(page) == text
+
+
+def test_any_order_of_tags_renders():
+    import random
+
+    tags = "table tr td th tbody caption ol ul li select option svg text pre div p input hr".split()
+    chance = random.Random(5)
+    for _ in range(2_000):
+        page = "".join(
+            f"<{chance.choice(['', '/'])}{chance.choice(tags)}"
+            f"{chance.choice(['', ' rowspan=0', ' colspan=2', ' reversed', ' hidden'])}>w"
+            for _ in range(30)
+        )
+        assert isinstance(render(page), str)

@@ -62,7 +62,11 @@ _TOKEN = re.compile(
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b")
+_HIDING = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b")
+#: Kinds of input whose value a page does not show as text.
+WITHOUT_TEXT = frozenset("hidden checkbox radio password file image range color".split())
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # fixed values: the spans that the HTML standard allows
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -162,6 +166,33 @@ def hidden(name: str, attributes: str) -> bool:
     return False
 
 
+def visibility(attributes: str | None) -> bool | None:
+    """Whether an element says that it is visible or hidden; None where it inherits that."""
+    if not attributes or "visibility" not in attributes.lower():
+        return None
+    found = _VISIBILITY.findall(_values(attributes).get("style", "").lower())
+    return found[-1] == "visible" if found else None
+
+
+def _span(own: dict[str, str], name: str, most: int) -> int:
+    value = own.get(name, "").strip()
+    return min(int(value[:9]), most) if value.isdecimal() else 1
+
+
+def list_sizes(page: str) -> list[int]:
+    """Items of each list of a page, in the order of the lists."""
+    sizes, inside = [], []
+    for kind, name, _ in parse(page):
+        if name in ("ul", "ol", "menu", "dir") and kind > 0:
+            inside.append(len(sizes))
+            sizes.append(0)
+        elif name in ("ul", "ol", "menu", "dir") and kind < 0:
+            inside.pop()
+        elif name == "li" and kind > 0 and inside:
+            sizes[inside[-1]] += 1
+    return sizes
+
+
 def _values(attributes: str | None) -> dict[str, str]:
     """Values of attributes by their names in lower case; of repeated ones the first counts."""
     found = reversed(_ATTRIBUTE.findall(attributes or ""))
@@ -213,26 +244,68 @@ class _Block:
 
 
 class _Table:
+    """Cells by row and column; ``down`` tells up to which row a column is taken from above."""
+
     def __init__(self) -> None:
-        self.rows: list[list[_Block]] = []
+        self.rows: list[list[tuple[int, int, _Block]]] = []
         self.caption: list[str] = []
+        self.spans: list[tuple[int, int]] = []
+        self.down: dict[int, int] = {}
+
+    def open_cell(self, attributes: str) -> None:
+        own = _values(attributes)
+        self.spans.append(
+            (max(_span(own, "colspan", MOST_COLUMNS), 1), _span(own, "rowspan", MOST_ROWS))
+        )
+
+    def add_cell(self, cell: _Block) -> None:
+        """Put a cell into the first free columns of the last row; a span of 0 rows is all."""
+        if not self.rows:
+            self.rows.append([])
+        wide, high = self.spans.pop()
+        row, at = len(self.rows) - 1, 0
+        if self.rows[-1]:
+            at = self.rows[-1][-1][0] + self.rows[-1][-1][1]
+        while self.down.get(at, -1) >= row:
+            at += 1
+        self.rows[-1].append((at, wide, cell))
+        if high != 1:
+            last = row + (high or MOST_ROWS) - 1
+            self.down.update((k, last) for k in range(at, at + wide))
 
     def lines(self) -> list[str]:
-        """Rows with their cells padded to columns; a row is as high as its highest cell."""
-        rows = [[cell.lines or [""] for cell in row] for row in self.rows]
-        rows = [row for row in rows if any(any(cell) for cell in row)]
-        widths: list[int] = []
-        for row in rows:
-            if len(row) > 1:
-                for k, cell in enumerate(row):
-                    widths += [0] * (k + 1 - len(widths))
-                    widths[k] = max(widths[k], *map(len, cell))
+        """Rows with their cells at their columns; a row is as high as its highest cell.
+
+        A row with a single cell at its start does not widen a column.  A column
+        in which no cell begins takes no room.
+        """
+        rows = [[(at, wide, c.lines or [""]) for at, wide, c in row] for row in self.rows]
+        rows = [row for row in rows if any(any(cell) for _, _, cell in row)]
+        places = {at: k for k, at in enumerate(sorted({at for row in rows for at, _, _ in row}))}
+        widths = [0] * len(places)
+        several = [row for row in rows if len(row) > 1 or row[0][0]]
+        beyond = []
+        for row in several:
+            for at, wide, cell in row:
+                first = places[at]
+                last = max((places[k] for k in range(at, at + wide) if k in places), default=first)
+                size = max(map(len, cell))
+                if first == last:
+                    widths[first] = max(widths[first], size)
+                else:
+                    beyond.append((first, last, size))
+        for first, last, size in sorted(beyond):
+            lacking = size - sum(widths[first : last + 1]) - 2 * (last - first)
+            widths[last] += max(lacking, 0)
+        begins = [sum(widths[:k]) + 2 * k for k in range(len(widths))] if several else [0]
         out = list(self.caption)
         for row in rows:
-            for k in range(max(map(len, row))):
-                cells = [cell[k] if k < len(cell) else "" for cell in row]
-                padded = [c.ljust(widths[i]) if i < len(widths) else c for i, c in enumerate(cells)]
-                out.append("  ".join(padded).rstrip())
+            for k in range(max(len(cell) for _, _, cell in row)):
+                line = ""
+                for at, _, cell in row:
+                    if k < len(cell) and cell[k]:
+                        line = line.ljust(begins[places[at]]) + cell[k]
+                out.append(line.rstrip())
         return out
 
 
@@ -308,34 +381,42 @@ def render(page: str) -> str:
 
     White space collapses except in ``pre``; paragraphs, headings, lists and
     tables stand apart by an empty line; list items have bullets or numbers and
-    are indented by depth; table cells are aligned in columns.  Formulas, the
-    labels of drawings, the preset text of fields and the options that a list
-    shows are part of it.  A page without visible text is the empty string.
+    are indented by depth; table cells are aligned in columns, beside cells that
+    span rows and below those that span columns.  Formulas, the labels of
+    drawings and buttons, the preset text of fields and the options that a list
+    shows are part of it.  Text is visible again inside a hidden element that sets
+    its visibility back, but not in one that is not displayed.  A page without visible text is the empty string.
     """
     blocks, tables, lists, dark, pre = [_Block()], [], [], 0, 0
-    inset = _Inset()
+    inset, shown = _Inset(), [True]
+    sizes = iter(list_sizes(page) if "reversed" in page.lower() else ())
     for kind, value, attributes in parse(page):
         if kind > 0:
+            items = next(sizes, 0) if value in ("ul", "ol", "menu", "dir") else 0
             if dark or hidden(value, attributes) or inset.undrawn(value):
                 dark += 1
                 continue
+            own = visibility(attributes)
+            shown.append(shown[-1] if own is None else own)
             inset.start(value, attributes, blocks)
-            _start(value, attributes, blocks, tables, lists)
+            if shown[-1] or value not in ("hr", "input"):
+                _start(value, attributes, blocks, tables, lists, items)
             pre += value in ("pre", "textarea")
         elif kind < 0:
             if dark:
                 dark -= 1
                 continue
+            shown.pop()
             pre -= value in ("pre", "textarea")
             _end(value, blocks, tables, lists)
             inset.end(value, blocks)
-        elif not dark and not inset.hides():
+        elif not dark and shown[-1] and not inset.hides():
             blocks[-1].write(value, pre > 0)
     blocks[0].end_line()
     return "\n".join(blocks[0].lines).strip("\n")
 
 
-def _start(name, attributes, blocks, tables, lists) -> None:
+def _start(name, attributes, blocks, tables, lists, items) -> None:
     block = blocks[-1]
     if name == "br":
         block.end_line(True)
@@ -346,21 +427,36 @@ def _start(name, attributes, blocks, tables, lists) -> None:
     if name == "hr":
         block.add(["---"])
     elif name in ("ul", "ol", "menu", "dir"):
-        start = re.search(r"\bstart\s*=\s*[\"']?(-?\d{1,9})", attributes or "")
-        lists.append([name, int(start.group(1)) if start else 1])
+        own = _values(attributes)
+        step = -1 if name == "ol" and "reversed" in own else 1
+        lists.append([name, _number(own.get("start"), items if step < 0 else 1), step])
     elif name == "li":
-        own = lists[-1] if lists else ["ul", 1]
+        own = lists[-1] if lists else ["ul", 1, 1]
+        own[1] = _number(_values(attributes).get("value"), own[1])
         mark = f"{own[1]}. " if own[0] == "ol" else "- "
-        own[1] += 1
+        own[1] += own[2]
         block.prefix = "  " * max(0, len(lists) - 1) + mark
+    elif name == "input":
+        own = _values(attributes)
+        if own.get("value", "").strip() and own.get("type", "").lower() not in WITHOUT_TEXT:
+            block.write(f" {own['value']} ")
     elif name == "dd":
         block.prefix = "    "
     elif name == "table":
         tables.append(_Table())
     elif tables and name == "tr":
         tables[-1].rows.append([])
+    elif tables and name in ("thead", "tbody", "tfoot"):
+        tables[-1].down.clear()  # no cell spans rows of another group
     elif tables and name in ("td", "th", "caption"):
         blocks.append(_Block())
+        if name != "caption":
+            tables[-1].open_cell(attributes)
+
+
+def _number(text: str | None, otherwise: int) -> int:
+    found = re.match(r"\s*([+-]?[0-9]{1,9})", text or "")
+    return int(found.group(1)) if found else otherwise
 
 
 def _end(name, blocks, tables, lists) -> None:
@@ -382,9 +478,7 @@ def _end(name, blocks, tables, lists) -> None:
         if name == "caption":
             tables[-1].caption += cell.lines
         else:
-            if not tables[-1].rows:
-                tables[-1].rows.append([])
-            tables[-1].rows[-1].append(cell)
+            tables[-1].add_cell(cell)
 
 
 @F.pandas_udf(T.StringType())
