@@ -140,3 +140,29 @@ def test_rows_are_spread_only_where_one_stands_for_many_copies(spark):
     found = {r.key: r["count"] for r in pairs.groupBy("key").count().collect()}
     assert set(found) == {"a", "b"} and all(68_000 < n < 72_000 for n in found.values())
     assert "_block" in executed(pairs)[0]
+
+
+@pytest.mark.parametrize("method", ["zip", "indexed"])
+def test_copies_are_not_broadcast(spark, plans, method):
+    """A small sample of a hot key stands for many copies; they must not meet on the driver."""
+    left = spark.range(60).selectExpr("id as lid", "0 as key")
+    right = spark.range(50).selectExpr("id as rid", "0 as key", "'v' as v")
+    pairs = ws.join_sample(
+        left, right, "key", 3.0, seed=1, left_id="lid", right_id="rid", method=method,
+        slot_rows=20, part_rows=15,
+    )
+    assert 8_000 < pairs.count() < 10_000
+    pairs.collect()
+    last = "".join(plans["picks"] if method == "indexed" else executed(pairs))
+    joins = re.findall(r"(\w+Join) \[[^\]]*(?:slot|_part)#\d+L\], [^\n]*(?:Inner|LeftOuter)", last)
+    assert "SortMergeJoin" in joins
+    if method == "zip":
+        assert "BroadcastExchange" not in last
+    assert not re.findall(r"BroadcastHashJoin \[[^\]]*slot#", last)
+
+
+def test_copies_are_spread_where_there_are_many_in_all():
+    from weftsample.operators.draws import COPY_BLOCK, FEW_COPIES, many_copies
+
+    assert not many_copies(None, None) and not many_copies(COPY_BLOCK, FEW_COPIES)
+    assert many_copies(COPY_BLOCK + 1, FEW_COPIES) and many_copies(2, FEW_COPIES + 1.0)
