@@ -1,5 +1,7 @@
 """Samples of joins of three and more tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,3 +163,17 @@ def test_bad_arguments(spark):
         ws.join_sample_chain(left, middle, right, "a", "b", 1.0, left_id="nope")
     with pytest.raises(ValueError, match="no branches"):
         ws.join_sample_star(middle, [], 1.0)
+
+
+def test_copies_are_not_broadcast(spark):
+    """A few stored rows stand for many copies; they must not meet on the driver."""
+    left = spark.range(40).selectExpr("id as lid", "'a' as a")
+    middle = spark.range(40).selectExpr("id as mid", "'a' as a", "1 as b")
+    right = spark.range(40).selectExpr("id as rid", "1 as b")
+    for options in ({}, dict(slot_rows=20, part_rows=15)):
+        triples = ws.join_sample_chain(left, middle, right, "a", "b", 0.5, **IDS, **options)
+        triples.collect()
+        plan = triples._jdf.queryExecution().executedPlan().toString()
+        joins = re.findall(r"(\w+Join) \[[^\]]*_slot#", plan)
+        assert joins and set(joins) == {"SortMergeJoin"}
+        assert 31_000 < triples.count() < 33_000

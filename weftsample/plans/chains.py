@@ -134,7 +134,7 @@ def join_sample_star(
                 for i, (k, _) in enumerate(key_names)
             }
         ).withColumnRenamed(f"_slot{number}", "_slot")
-        picked = join_keys(meeting, numbered, [*keys, "_slot"]).drop(*keys, "_slot")
+        picked = join_keys(meeting, numbered, [*keys, "_slot"], unrolled=True).drop(*keys, "_slot")
     return picked.select(
         *[F.col(place).alias(name) for place, name in names],
     )
