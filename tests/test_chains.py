@@ -177,3 +177,20 @@ def test_copies_are_not_broadcast(spark):
         joins = re.findall(r"(\w+Join) \[[^\]]*_slot#", plan)
         assert joins and set(joins) == {"SortMergeJoin"}
         assert 31_000 < triples.count() < 33_000
+
+
+def test_stages_of_the_picks_are_compiled(spark, capsys):
+    """The JVM leaves methods of more than 8,000 bytes to its interpreter."""
+    middle = spark.range(40).selectExpr("id as mid", "id % 3 as a", "id % 2 as b", "id % 5 as c")
+    branches = [
+        ws.Branch(spark.range(30).selectExpr(f"id as {key}id", f"id % 7 as {key}"), key, f"{key}id")
+        for key in "abc"
+    ]
+    asked = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ws.join_sample_star(middle, branches, 0.5, seed=1, middle_id="mid").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", asked)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8_000

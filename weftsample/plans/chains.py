@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import mix52, quoted, uniform, with_row_bits
-from ..operators.draws import COPY_BLOCK, expand_copies, poisson_draws
+from ..operators.draws import copy_facts, expand_copies, many_copies, poisson_draws
 from ..operators.frequencies import shared_key_counts
 from ..operators.keys import (
     JoinKeys,
@@ -106,17 +106,13 @@ def join_sample_star(
         weighted.withColumn("weight", F.expr(product)), fraction, ids=ids, side="middle", seed=seed
     )
     drawn = stored(drawn.drop("weight"), "middle")
-    most = drawn.agg(F.max("copies")).first()[0] or 0
-    copies = expand_copies(drawn, spread_by=ids if most > COPY_BLOCK else None)
+    spread = many_copies(*drawn.agg(*copy_facts()).first())
+    copies = expand_copies(drawn, spread_by=ids if spread else None)
 
     picked = copies.select(
         *[F.col(quoted(c)).alias(f"_m{i}") for i, c in enumerate(middle.columns)],
-        *[
-            F.expr(
-                f"floor({uniform(mix52('(_bits ^ copy)', f'pick-{n}', seed))} * _w{n}) + 1L"
-            ).alias(f"_slot{n}")
-            for n in range(len(sides))
-        ],
+        *[f"_w{n}" for n in range(len(sides))],
+        F.expr("_bits ^ copy").alias("_copy"),
     )
     for number, (key_names, keys, other, branch_ids, counts) in enumerate(sides):
         how = Settings(keys, fraction, seed, False, slot_rows, part_rows)
@@ -128,12 +124,15 @@ def join_sample_star(
             *[F.col(c).alias(f"_b{number}{c}") for c in values],
         )
         places = {k: middle.columns.index(k) for k, _ in key_names}
+        # One pick in each stage: the JVM does not compile a method that holds several.
+        # Never NULL; saying so keeps the optimizer from checking all picks in the first.
+        pick = f"{uniform(mix52('_copy', f'pick-{number}', seed))} * _w{number}"
         meeting = picked.withColumns(
             {
                 f"_k{i}": F.col(f"_m{places[k]}").cast(numbered.schema[f"_k{i}"].dataType)
                 for i, (k, _) in enumerate(key_names)
             }
-        ).withColumnRenamed(f"_slot{number}", "_slot")
+        ).withColumn("_slot", F.expr(f"coalesce(floor({pick}) + 1L, 0L)")).drop(f"_w{number}")
         picked = join_keys(meeting, numbered, [*keys, "_slot"], unrolled=True).drop(*keys, "_slot")
     return picked.select(
         *[F.col(place).alias(name) for place, name in names],
