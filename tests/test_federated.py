@@ -142,6 +142,38 @@ def test_phases_with_several_keys_and_ids(spark, tmp_path, ids):
     assert phased.filter("`k.1` IS NULL").count() > 0 and phased.count() > 200
 
 
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_rows_without_a_partner_are_not_folded(spark, tmp_path, monkeypatch, null_safe):
+    """The fold of equal rows shuffles them whole; a row whose key has no partner draws nothing."""
+    for t in jobs.TABLES:
+        rows = spark.range(3000).selectExpr(
+            f"if(id % 10 = 0, if(id % 20 = 0, NULL, 'both'), '{t}-' || id) as key",
+            "'v' || id % 7 as v", "cast(id % 2 as int) as site",
+        )
+        prefix = files.write_sites(rows, f"{tmp_path}/tables", "few", t, 2)
+    folded, fold = [], jobs.identify_rows
+
+    def counted(df, ids):
+        folded.append(df.count())
+        return fold(df, ids)
+
+    run = dict(sites=2, schema=rows.drop("site").schema)
+    draw = dict(fraction=0.01, seed=4, null_safe=null_safe)
+    root, out, whole = (f"{tmp_path}/{x}" for x in ("root", "out", "whole"))
+    for p in range(2):
+        jobs.run_count(spark, prefix, root, site=p, **run)
+    jobs.run_merge(spark, root, **run)
+    monkeypatch.setattr(jobs, "identify_rows", counted)
+    for p in range(2):
+        jobs.run_sample(spark, prefix, root, site=p, **run, **draw)
+    assert sum(folded) < 2 * 3000 * 0.2
+    jobs.run_join(spark, root, out, out_fmt="parquet", **run, **draw)
+    jobs.run_centralized(spark, prefix, whole, fmt="parquet", **run, **draw)
+    phased = spark.read.parquet(out)
+    assert rows_of(phased) == rows_of(spark.read.parquet(whole))
+    assert phased.count() > 100 and (phased.filter("key IS NULL").count() > 0) == null_safe
+
+
 def test_bad_columns_of_the_jobs(spark, tmp_path):
     with pytest.raises(ValueError, match="key columns"):
         jobs.run_merge(spark, str(tmp_path), sites=1, key="nope")

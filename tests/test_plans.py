@@ -166,3 +166,12 @@ def test_copies_are_spread_where_there_are_many_in_all():
 
     assert not many_copies(None, None) and not many_copies(COPY_BLOCK, FEW_COPIES)
     assert many_copies(COPY_BLOCK + 1, FEW_COPIES) and many_copies(2, FEW_COPIES + 1.0)
+
+
+def test_copies_are_not_spread_where_every_row_has_few():
+    from weftsample.operators.draws import COPIES_A_ROW, COPY_BLOCK, FEW_COPIES, many_copies
+
+    assert not many_copies(COPIES_A_ROW, 50.0 * FEW_COPIES, COPIES_A_ROW)
+    assert not many_copies(None, None, COPIES_A_ROW)
+    assert many_copies(COPIES_A_ROW + 1, FEW_COPIES + 1.0, COPIES_A_ROW)
+    assert many_copies(COPY_BLOCK + 1, 0.0, COPIES_A_ROW)

@@ -1,3 +1,4 @@
+import re
 from types import SimpleNamespace
 
 import pytest
@@ -209,3 +210,31 @@ def test_malformed_lines_are_counted(spark, tmp_path):
     assert len(few.collect()) == 3
     rows, seen = files.read_sites_counted(spark, f"{tmp_path}/x", 0, 2, schema=schema, only=1)
     assert rows.count() == 1 and seen.get["n_malformed"] == 0
+
+
+def test_a_table_made_of_hashes_is_checked_in_compiled_code(spark, capsys):
+    """A generated method of over 8,000 bytes is run by the interpreter, many times slower."""
+    rows = synth.synth_uniform(
+        synth.key_positions(spark, 10), 10, min_rpk=4, max_rpk=12, table=0, **COMMON
+    ).drop("table")
+    adaptive = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(adaptive)
+    spark.conf.set(adaptive, "false")
+    try:
+        files._plain(rows, "site").explain("codegen")
+    finally:
+        spark.conf.set(adaptive, before)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_plain_files_hold_every_other_text(spark, tmp_path):
+    texts = [" ", "  a", "a b ", "\t", "A", "\u2028", "\u00e4", "x" * 5000, None]
+    rows = spark.createDataFrame([("k", t) for t in texts], "k string, v string collate UNICODE_CI")
+    plain = files._plain(rows)
+    assert plain.schema["v"].dataType == rows.schema["v"].dataType
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, rows.collect()))
+    for lost in ("", "\n", "\r\n", "a\n"):
+        row = rows.limit(0).unionAll(spark.createDataFrame([("k", lost)], rows.schema))
+        with pytest.raises(Exception, match="column v: plain CSV cannot hold"):
+            files._plain(row).collect()

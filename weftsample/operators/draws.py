@@ -18,6 +18,7 @@ BOUND_SLACK = 1.0 - 1e-12  # exp() of a bound and of the weight may round apart
 CDF_BATCH = 100_000  # rows of distribution tables handed over at a time
 COPY_BLOCK = 65_536  # copies of one row that one task unrolls in one go
 FEW_COPIES = 1_000_000  # of a whole sample: they may come from one task
+COPIES_A_ROW = 16  # of every row at most: not worth a shuffle of all blocks
 
 
 def draws_some(fraction: float, weight: str) -> str:
@@ -81,10 +82,11 @@ def copy_facts() -> tuple[Column, Column]:
     return F.max("copies"), F.sum(F.col("copies").cast("double"))
 
 
-def many_copies(most: int | None, total: float | None) -> bool:
+def many_copies(most: int | None, total: float | None, a_row: int = 0) -> bool:
     """Should the copies be spread?  A stored sample lies in as few files as its rows
-    fill, which says nothing about the copies that they stand for."""
-    return (most or 0) > COPY_BLOCK or (total or 0) > FEW_COPIES
+    fill, which says nothing about the copies that they stand for.  Where no row has more
+    than ``a_row`` copies, no task has more than that many times the rows that it reads."""
+    return (most or 0) > COPY_BLOCK or ((total or 0) > FEW_COPIES and most > a_row)
 
 
 def poisson_cdf(weights: DataFrame, fraction: float) -> DataFrame:

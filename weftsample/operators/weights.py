@@ -81,13 +81,19 @@ def attach_weights(
 
 
 def near_keys(
-    rows: DataFrame, counts: DataFrame, keys: Sequence[str], *, shared: int
+    rows: DataFrame,
+    counts: DataFrame,
+    keys: Sequence[str],
+    *,
+    shared: int,
+    guided: int = GUIDED_KEYS,
 ) -> DataFrame:
     """Rows whose key is one of the ``shared`` keys of ``counts``, and few others.
 
-    With few shared keys the guide tells as much, and the rows stay as they are.
+    With up to ``guided`` shared keys the guide tells as much, and the rows stay as
+    they are; 0 is for rows that are shuffled before they meet it.
     """
-    if shared <= GUIDED_KEYS:
+    if shared <= guided and guided:
         return rows
     pages = bit_set(counts.select(key_hash(counts, keys).alias("hash")), "hash", shared)
     return members_of(rows, key_hash(rows, keys), pages, shared)

@@ -27,13 +27,15 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 
 from ..functions.hashing import quoted
 from ..operators.frequencies import merge_key_frequencies, shared_key_counts, site_key_frequencies
-from ..operators.keys import as_list, digest_rows, identify_rows
+from ..operators.keys import as_list, cast_keys, digest_rows, identify_rows
 from ..operators.pairing import pair_on_slot
+from ..operators.weights import near_keys
 from ..sources.sites import (
     TABLE_SCHEMA,
     read_sites,
     read_sites_counted,
     read_table,
+    stored,
     write_table,
 )
 from .manifests import observed, read_manifest, verify, write_manifest
@@ -146,10 +148,14 @@ def run_sample(
         for t in TABLES
     )
     counts = shared_key_counts(left, right, keys, name="count", null_safe=null_safe)
+    counts = stored(counts, "counts")
+    shared = how.knowing(counts).shared
     drawn = dict(fraction=fraction, seed=seed, null_safe=null_safe)
     outputs = []
     for t in TABLES:
         rows = read_sites(spark, prefix, t, sites, schema=schema, only=site)
+        # Equal rows have one key: those without a partner need not be folded.
+        rows = near_keys(cast_keys(rows, counts, keys), counts, keys, shared=shared, guided=0)
         rows, known_by = identify_rows(rows, names)
         sample = site_samples(rows, counts, how, SIDE[t], known_by).select(
             *map(quoted, schema.names), "weight", "own_count", "copies"

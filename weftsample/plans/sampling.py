@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import mix52, quoted, uniform, with_row_bits
 from ..operators.bitsets import bit_set, members_of
 from ..operators.draws import (
+    COPIES_A_ROW,
     copy_facts,
     expand_copies,
     expected_pairs,
@@ -220,7 +221,7 @@ def zip_slots(sample: DataFrame, how: Settings, side: str, ids: Sequence[str]) -
     """
     is_large = how.is_large("own_count", "weight")
     facts = sample.agg(*copy_facts(), F.max(F.expr(is_large))).first()
-    spread = ids if many_copies(*facts[:2]) else None
+    spread = ids if many_copies(*facts[:2], COPIES_A_ROW) else None
 
     def copies(rows: DataFrame) -> DataFrame:
         return expand_copies(with_row_bits(rows, ids, side, how.seed), spread_by=spread)
