@@ -194,3 +194,74 @@ def test_stages_of_the_picks_are_compiled(spark, capsys):
         spark.conf.set("spark.sql.adaptive.enabled", asked)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) < 8_000
+
+
+def after_unrolling(df):
+    """What the plan does to the copies once they are unrolled."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    return plan[: plan.index("explode(sequence(((_block")]
+
+
+def test_many_copies_are_not_shuffled(spark):
+    """A million copies of 1,000 rows: the rows they may pick are shuffled, and they are not."""
+    left = spark.range(1000).selectExpr("id as lid", "if(id < 900, 'a', 'b') as a")
+    middle = spark.range(1000).selectExpr("id as mid", "if(id < 900, 'a', 'b') as a", "id as b")
+    right = spark.range(3000).selectExpr("id as rid", "id % 1000 as b")
+    for options in ({}, dict(slot_rows=20, part_rows=15)):
+        triples = ws.join_sample_chain(left, middle, right, "a", "b", 0.5, **IDS, **options)
+        triples.collect()
+        assert "Exchange" not in after_unrolling(triples)
+        assert 1_225_000 < triples.count() < 1_235_000
+
+
+@pytest.mark.parametrize("share, ids", [(0, IDS), (10, {}), (1000, IDS)])
+def test_lists_cells_and_copies_give_the_same_rows(spark, monkeypatch, share, ids):
+    """Keys of several cells, rows of several blocks, repeated and NULL values, uneven types."""
+    from weftsample.operators import draws
+    from weftsample.plans import chains
+
+    left = spark.range(60).selectExpr(
+        "id as lid", "if(id < 40, 0.5D, if(id < 58, id % 5 * 1D, NULL)) as a", "if(id % 3 = 0, NULL, id % 4) as v"
+    )
+    middle = spark.range(50).selectExpr(
+        "id as mid", "if(id < 35, 0.5D, id % 5 * 1D) as a", "cast(if(id = 7, NULL, id % 20) as int) as b"
+    )
+    middle = middle.unionAll(middle.filter("mid < 5"))
+    right = spark.range(70).selectExpr("id as rid", "id % 30 as b", "cast(id % 2 as string) as v")
+    right = right.unionAll(right.filter("rid < 9"))
+
+    def sampled():
+        return ws.join_sample_chain(
+            left, middle, right, "a", "b", 3.0, seed=5, suffixes=("_l", "_m", "_r"), **ids
+        )
+
+    known = rows_of(sampled())
+    assert len(known) > 10_000
+    monkeypatch.setattr(chains, "FEW_COPIES", 0)
+    monkeypatch.setattr(chains, "LIST_SHARE", share)
+    monkeypatch.setattr(chains, "CELL_COPIES", 300)
+    monkeypatch.setattr(chains, "CELL_SHARE", 2)
+    for module in (chains, draws):
+        monkeypatch.setattr(module, "COPY_BLOCK", 16)
+    pairs = sampled()
+    assert rows_of(pairs) == known
+    # With 0 both branches have too long lists; one of them gets cells.
+    assert ("SortMergeJoin" in after_unrolling(pairs)) == (share == 0)
+    assert ("_cell#" in pairs._jdf.queryExecution().executedPlan().toString()) == (share < 1000)
+
+
+def test_values_without_an_order_and_no_values(spark, monkeypatch):
+    from weftsample.plans import chains
+
+    left = spark.range(8).selectExpr("id as lid", "'a' as a", "map('k', id) as m")
+    middle = spark.range(8).selectExpr("id as mid", "'a' as a", "1 as b")
+    right = spark.createDataFrame([(1,), (1,), (2,)], "b int")
+
+    def sampled():
+        return ws.join_sample_chain(
+            left, middle, right, "a", "b", 2.0, seed=5, left_id="lid", middle_id="mid"
+        ).selectExpr("mid", "lid", "m['k']")
+
+    known = rows_of(sampled())
+    monkeypatch.setattr(chains, "FEW_COPIES", 0)
+    assert len(known) > 200 and rows_of(sampled()) == known

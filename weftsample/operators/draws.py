@@ -61,12 +61,10 @@ def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None)
     first, so that the copies of one row do not all come from one task.  The
     number of partitions is fixed for it: adaptive execution would merge them by
     the size of the blocks, which says nothing about the copies in them.  Rows
-    with no copies give none.
+    with no copies give none.  A sample that went through ``copy_blocks`` keeps its
+    blocks.
     """
-    # Not a filter: that would be pushed below, and the expression of copies with it.
-    numbers = f"sequence(0L, (copies - 1) div {COPY_BLOCK})"
-    block = F.expr(f"explode(if(copies > 0, {numbers}, cast(array() as array<bigint>)))")
-    blocks = sample.withColumn("_block", block)
+    blocks = sample if "_block" in sample.columns else copy_blocks(sample)
     if spread_by is not None:
         partitions = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         blocks = blocks.repartition(partitions, *map(quoted, spread_by), "_block")
@@ -77,6 +75,14 @@ def expand_copies(sample: DataFrame, *, spread_by: Sequence[str] | None = None)
     return blocks.withColumn("copy", copy).drop("_block")
 
 
+def copy_blocks(sample: DataFrame) -> DataFrame:
+    """The rows with their ``_block`` numbers: from 0, one for each COPY_BLOCK copies."""
+    # Not a filter: that would be pushed below, and the expression of copies with it.
+    numbers = f"sequence(0L, (copies - 1) div {COPY_BLOCK})"
+    block = F.expr(f"explode(if(copies > 0, {numbers}, cast(array() as array<bigint>)))")
+    return sample.withColumn("_block", block)
+
+
 def copy_facts() -> tuple[Column, Column]:
     """What ``many_copies`` asks for: the most copies of a row, and the copies of all."""
     return F.max("copies"), F.sum(F.col("copies").cast("double"))
